@@ -60,29 +60,29 @@ def fingerprint_of(text: str, words_per_shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
-    """doc_id and fp (long, the 64 bits as a signed number) of each row."""
+    """doc_id, fp (long, the 64 bits as a signed number) and text_hash of each row."""
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([fingerprint_of(t, words_per_shingle) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array([fingerprint_of(t, words_per_shingle) for t in b.column(1).to_pylist()], pa.int64()), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return narrow(docs, "text").mapInArrow(run, "doc_id long, fp long")
+    return narrow(docs, "text").withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, max_distance: int = 3, parts: int | None = None,
                     hot_pairs: int = 1024) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id that links reach) of each row."""
+    """doc_id, fp, text_hash and component_id (smallest doc_id that links reach) of each row."""
     rows = materialize(fingerprints(docs, words_per_shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
     edges = links(nodes.select("fp"), max_distance, parts, hot_pairs)
     if edges is None:
-        return rows.join(nodes, "fp", "left").select("doc_id", "fp", F.col("first_id").alias("component_id"))
+        return rows.join(nodes, "fp", "left").select("doc_id", "fp", "text_hash", F.col("first_id").alias("component_id"))
     roots = materialize(connected_components(edges), "fingerprint-roots")
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = materialize(named.join(lowest, "root").select("fp", "component_id"), "fingerprint-classes")
-    return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    return rows.join(classes, "fp", "left").select("doc_id", "fp", "text_hash", "component_id")
 
 
 def links(nodes: DataFrame, max_distance: int, parts: int | None = None, hot_pairs: int = 1024) -> DataFrame | None:
@@ -317,3 +317,15 @@ def _block_edges(members: DataFrame, max_distance: int, block: int = 1024) -> Da
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return meet.groupBy("part", "key", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5, max_distance: int = 3, **options) -> DataFrame:
+    """docs with one row of each component: the one with the smallest doc_id. Of rows that repeat that doc_id one stays.
+
+    Rows with null doc_id stay only where their whole component has none; then all of them stay."""
+    classes = near_duplicates(docs, words_per_shingle, max_distance, **options)
+    stay = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("_weft_id"), F.col("text_hash").alias("_weft_hash")).distinct()
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked = docs.withColumns({"_weft_own": F.col("doc_id").cast("long"), "_weft_th": th, "_weft_lone": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
+    met = marked.join(stay, F.col("_weft_own").eqNullSafe(F.col("_weft_id")) & (F.col("_weft_th") == F.col("_weft_hash")), "left_semi")
+    return met.dropDuplicates(["_weft_own", "_weft_lone"]).select(*[F.col(c) for c in docs.columns])
