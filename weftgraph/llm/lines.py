@@ -123,7 +123,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_k
         if now is not None:
             yield from close(True)
 
-    keyed = keyed_lines(docs, min_key_chars)
+    # written first: dealing by range reads its input twice
+    keyed = materialize(keyed_lines(docs, min_key_chars), "lines-keyed")
     ranged = keyed.repartitionByRange(partitions(spark), "h1", "h2", "d1", "d2").sortWithinPartitions("h1", "h2", "d1", "d2", "pos")
     streamed = materialize(ranged.mapInArrow(run, "state int, task int, h1 long, h2 long, d1 long, d2 long, pos long"), "lines-streamed")
     settled = streamed.where("state = 0").select("d1", "d2", F.col("pos").cast("int").alias("pos"))

@@ -172,7 +172,7 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
     return materialize(_scatter(near, ["gid"], consistency(0.975)).select("gid", "m", "l"), "mcd-final")
 
 
-def judge(docs: DataFrame, min_words: int = 50, min_rows: int = 100, tail: float = 1e-9, keys: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 50, min_rows: int = 100, tail: float = 1e-4, keys: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the base counts, base_failed, distance (null where there is no verdict) and kept of each row; keys: columns to carry."""
     rows = base_statistics(docs, min_words, ("lang", "source", *keys)).withColumns(vector())
     rows = materialize(rows.withColumn("lang", F.col("lang").cast("string")).withColumn("source", F.col("source").cast("string")), "quality-statistics")

@@ -45,5 +45,37 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_outliers, op6_packing, op7_lines, op8_mixture)}
+
+
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.token_files import round_trip
+
+    return round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.importance import resample
+
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.spotsigs import near_documents
+
+    return near_documents(documents(spark, sf_dir))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.chaining import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_tokens, op2_importance, op3_spotsigs, op4_simhash, op5_outliers, op6_packing, op7_lines, op8_mixture, op9_licenses, op10_passages)}
 SQL: dict[str, str] = {}
