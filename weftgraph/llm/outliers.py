@@ -149,26 +149,36 @@ def _bin(d: Column) -> Column:
     return F.floor(32 * F.log2(d + F.lit(1e-6))).cast("int")
 
 
+#: A group's rows meet its estimates in this many places, so that a large group is no task's alone.
+SALTS = 32
+
+
+def _meet(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """rows with their group's estimates: every salt of the rows has a copy of the group's one row (or two)."""
+    copies = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int")).join(copies, ["gid", "_salt"]).drop("_salt")
+
+
 def fit(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
     """rows: gid and the statistics. Returns gid, m, l."""
     middle = rows.groupBy("gid").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"c_{x}") for x in X])
     middle = materialize(middle, "mcd-middle")
-    off = rows.join(middle, "gid").groupBy("gid").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{x}")), 0.5, 1000).alias(f"a_{x}") for x in X])
+    off = _meet(rows, middle).groupBy("gid").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{x}")), 0.5, 1000).alias(f"a_{x}") for x in X])
     diagonal = [[F.lit(0.0)] * i + [F.greatest(1.4826 * F.col(f"a_{X[i]}"), F.lit(FLOOR[i]))] for i in range(P)]
     robust = middle.join(off, "gid").select("gid", F.lit(0).alias("start"), F.array(*[F.col(f"c_{x}") for x in X]).alias("m"), F.array(*[x for row in diagonal for x in row]).alias("l"))
     plain = _scatter(rows, ["gid"], 1.0).select("gid", F.lit(1).alias("start"), "m", "l")
     now = materialize(robust.unionByName(plain), "mcd-starts")
     by = ["gid", "start"]
     for _ in range(steps):
-        far = rows.join(now, "gid").withColumn("bin", _bin(_distance()))
+        far = _meet(rows, now).withColumn("bin", _bin(_distance()))
         counted = far.groupBy(*by, "bin").agg(F.count("*").alias("k"))
         upto = counted.withColumn("upto", F.sum("k").over(Window.partitionBy(*by).orderBy("bin"))).withColumn("all", F.sum("k").over(Window.partitionBy(*by)))
         cut = upto.where(F.col("upto") >= F.floor(share * F.col("all"))).groupBy(*by).agg(F.min("bin").alias("cut"))
         cut = now.join(materialize(cut, "mcd-cut"), by)
-        near = rows.join(cut, "gid").where(_bin(_distance()) <= F.col("cut"))
+        near = _meet(rows, cut).where(_bin(_distance()) <= F.col("cut"))
         now = materialize(_scatter(near, by, consistency(share)), "mcd-step")
     best = now.groupBy("gid").agg(F.min(F.struct("logdet", "start", "m", "l")).alias("b")).select("gid", "b.m", "b.l")
-    near = rows.join(materialize(best, "mcd-best"), "gid").where(_distance() <= chi2_quantile(0.975, P))
+    near = _meet(rows, materialize(best, "mcd-best")).where(_distance() <= chi2_quantile(0.975, P))
     return materialize(_scatter(near, ["gid"], consistency(0.975)).select("gid", "m", "l"), "mcd-final")
 
 
