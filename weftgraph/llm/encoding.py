@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-import re
+import os
+from array import array
 
-#: A space next to other white space, or at an end: there the text is encoded as it stands.
-_UNEVEN = re.compile(r"\s | \s|^\s|\s$")
+_OWN: dict[str, Encoder] = {}
+#: At the end of a word of letters each of these is a pre-token of its own.
+MARKS = ".,"
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a tokenizer file; its cache serves one task after another."""
+    if path not in _OWN:
+        _OWN[path] = Encoder(path)
+    return _OWN[path]
 
 
 class Encoder:
     """ids(text) equals encode(text, add_special_tokens=False).ids of the file's tokenizer, special strings taken as text.
 
     Both kinds of pre-tokenizer here start a new pre-token at a space that has a non-space on either side, so a text
-    is the sequence of its words' encodings, each with the space before it. The cache holds as many words as
-    fit max_cached, then starts anew; that changes no result."""
-
-    def __init__(self, path: str, max_cached: int = 400_000):
-        import os
+    is the sequence of its words' encodings, each with the space before it. A text with a space next to other white
+    space, or at an end, is encoded as it stands. The cache holds as many words as fit max_cached, then rare ones go; that
+    changes no result."""
 
+    def __init__(self, path: str, max_cached: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -27,20 +35,102 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.max_cached, self.cache, self.first = max_cached, {}, {}
 
-    def ids(self, text: str):
+        self.ends = self._boundaries()
+        self.folds = self._whole(["A"]) == self._whole(["a"])
+        self.marks = {"": b""} | dict(zip(MARKS, self._whole(list(MARKS))))
+
+    def _boundaries(self):
+        """Which ids end a pre-token (a word-end mark), or open one (the byte-level mark of a space); None if ids don't tell."""
+        import numpy as np
+
+        vocabulary = self.tokenizer.get_vocab()
+        for last, test in ((True, lambda w: w.endswith("</w>")), (False, lambda w: w.startswith("\u0120"))):
+            marked = [i for w, i in vocabulary.items() if test(w)]
+            if len(marked) > 1000:
+                out = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+                out[marked] = True
+                return last, out
+        return None
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it. Words of letters alone are one pre-token each: they are encoded
+        as one text and told apart by the marks, of which there must be as many as words."""
         import numpy as np
 
-        if not text:
-            return np.zeros(0, dtype=np.uint32)
-        if _UNEVEN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        words, cache = text.split(" "), self.cache
-        new = [w for w in dict.fromkeys(words[1:]) if w not in cache]
+        plain = [w for w in words if w.isalpha()] if self.ends else []
+        if len(plain) < 8:
+            return self._whole([" " + w for w in words])
+        last, mark = self.ends
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        at = np.flatnonzero(mark[ids])
+        if len(at) != len(plain) or (not last and at[0] != 0):
+            return self._whole([" " + w for w in words])
+        cuts = (np.concatenate(([0], at + 1)) if last else np.append(at, len(ids))) * 4
+        data, cuts = ids.tobytes(), cuts.tolist()
+        got = dict(zip(plain, [data[x:y] for x, y in zip(cuts, cuts[1:])]))
+        rest = [w for w in words if w not in got]
+        if rest:
+            got |= zip(rest, self._whole([" " + w for w in rest]))
+        return [got[w] for w in words]
+
+    def _parts(self, w: str) -> tuple[str, str]:
+        """What of a word is to be encoded - in lower case where the tokenizer folds ASCII anyway - and the mark after it."""
+        mark = ""
+        if w[-1:] in MARKS and w[:-1].isalpha():
+            w, mark = w[:-1], w[-1]
+        return (w.lower() if self.folds and w.isascii() else w), mark
+
+    def _room(self, cache: dict, now) -> None:
+        """Beyond max_cached words: those of the current texts stay, which the frequent ones are among, and the newest third."""
+        if len(cache) > self.max_cached:
+            kept = {w: cache[w] for w in now if w in cache}
+            kept |= {w: cache[w] for w in list(cache)[-self.max_cached // 3:]}
+            cache.clear()
+            cache.update(kept)
+
+    def encode(self, texts: list[str], at_once: int = 2500) -> list:
+        """Each text's ids as a uint32 array."""
+        return [x for k in range(0, len(texts), at_once) for x in self._some(texts[k:k + at_once])]
+
+    def _some(self, texts: list[str]) -> list:
+        """Arrow splits the texts and numbers their distinct words; only those are looked up, and numpy lays out the ids."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cache, first = self.cache, self.first
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        numbered = split.values.dictionary_encode()
+        code, words = numbered.indices.to_numpy().astype(np.int32), numbered.dictionary.to_pylist()
+        heads = [words[c] for c in code[offsets[:-1]].tolist()]
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words])
+        whole = np.add.reduceat(odd[code], offsets[:-1]) > 0
+        parts = [self._parts(w) for w in words]
+        missing = list(dict.fromkeys([w for (w, _), o in zip(parts, odd.tolist()) if w not in cache and not o]))
+        if missing:
+            cache.update(zip(missing, self._words(missing)))
+        new = [w for w in dict.fromkeys(heads) if w not in first]
         if new:
-            if len(cache) > self.max_cached:
-                cache.clear()
-                new = list(dict.fromkeys(words[1:]))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, dtype=np.uint32).tobytes()
-        head = np.array(self.tokenizer.encode(words[0], add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-        return np.frombuffer(head + b"".join([cache[w] for w in words[1:]]), dtype=np.uint32)
+            first.update(zip(new, self._whole(new)))
+        marks = self.marks
+        entries = [b"" if o else cache[w] + marks[m] if m else cache[w] for (w, m), o in zip(parts, odd.tolist())] + [first[w] for w in heads]
+        self._room(cache, (w for w, _ in parts))
+        self._room(first, heads)
+        sizes = np.fromiter(map(len, entries), dtype=np.int32, count=len(entries)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        code[offsets[:-1]] = len(words) + np.arange(len(texts))
+        lens = sizes[code]
+        ends = np.cumsum(lens, dtype=np.int32)
+        ids = np.frombuffer(b"".join(entries), dtype=np.uint32)[np.repeat(starts[code] - (ends - lens), lens) + np.arange(ends[-1], dtype=np.int32)]
+        bounds = np.concatenate(([0], ends))[offsets]
+        out = [ids[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
+        return out
+
+    def ids(self, text: str):
+        return self.encode([text])[0]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm._common import materialize, narrow
-from weftgraph.llm.encoding import Encoder
+from weftgraph.llm.encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -136,11 +136,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, nth, task = Encoder(tokenizer), defaultdict(int), TaskContext.get().partitionId()
+        own, nth, task = encoder(tokenizer), defaultdict(int), TaskContext.get().partitionId()
         for b in batches:
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(encoder.ids(t), np.uint32(end_id)).astype("<u4")
+            for d, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist())):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, (s, n) in enumerate(cut_pieces(len(ids), capacity)):
                     rows.append((d, k, s, n, zlib.crc32(ids[s:s + n].tobytes()), task, nth[n]))
                     nth[n] += 1

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm._common import materialize, narrow, partitions, scratch_dir
-from weftgraph.llm.encoding import Encoder
+from weftgraph.llm.encoding import encoder
 
 NO_ID = -(1 << 63)
 BLOCKS = "task int, block int, dict_sha256 string, first_id long, last_id long, start long, n_tokens long, index binary, payload binary"
@@ -44,6 +44,8 @@ def _compressor(dictionary: bytes, level: int):
     import zstandard
 
     kind = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    if dictionary:
+        kind["dict_data"].precompute_compress(level=level)  # else each frame digests it anew
     return zstandard.ZstdCompressor(level=level, write_content_size=True, write_dict_id=False, **kind)
 
 
@@ -58,10 +60,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_bytes:
     spark = docs.sparkSession
     texts = narrow(docs, "text").withColumn("text_hash", F.xxhash64("text"))
     kind = f"<u{id_bytes}"
-    # sample_docs rows of bounded length
-    picked = texts.select(F.xxhash64("doc_id", "text_hash").alias("h"), F.substring("text", 1, 4 * sample_bytes).alias("text")).orderBy("h").limit(sample_docs).collect()
-    encoder = Encoder(tokenizer)
-    dictionary = train([encoder.ids(r["text"]).astype(kind).tobytes()[:sample_bytes] for r in picked])
+    # the ids alone give the cut; then sample_docs rows of bounded length are read
+    h = F.xxhash64("doc_id")
+    least = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    picked = texts.where(h <= F.lit(least)).select(h.alias("h"), F.substring("text", 1, 2 * sample_bytes).alias("text")).limit(sample_docs).collect()
+    picked.sort(key=lambda r: (r["h"], r["text"]))
+    dictionary = train([encoder(tokenizer).ids(r["text"]).astype(kind).tobytes()[:sample_bytes] for r in picked])
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -69,11 +73,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_bytes:
         import numpy as np
         import pyarrow as pa
 
-        own, zip_ = Encoder(tokenizer), _compressor(dictionary, level)
+        own, zip_ = encoder(tokenizer), _compressor(dictionary, level)
         for b in batches:
             frames, counts = [], []
-            for t in b.column("text").to_pylist():
-                ids = np.append(own.ids(t), np.uint32(end_id)).astype(kind)
+            for ids in own.encode(b.column("text").to_pylist()):
+                ids = np.append(ids, np.uint32(end_id)).astype(kind)
                 counts.append(len(ids))
                 frames.append(zip_.compress(ids.tobytes()))
             yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "text_hash", "n_tokens", "frame"])
