@@ -48,12 +48,23 @@ def release(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Whole texts go to Python in Arrow batches of at most so many rows and bytes; smaller settings of the session stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        spark.conf.set(key, size)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id (long), text (null: empty) and the columns named; all others are left unread."""
+    bounded_batches(docs.sparkSession)
     out = [F.col("doc_id").cast("long").alias("doc_id")]
     if "text" in columns:
         out.append(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._common import WHITE_CHARS, materialize, narrow, partitions
+from weftgraph.llm._common import WHITE_CHARS, bounded_batches, materialize, narrow, partitions
 
 KEYED = "h1 long, h2 long, d1 long, d2 long, pos int"
 
@@ -30,6 +30,7 @@ def line_keys(lines: list[bytes]) -> list[bytes]:
 
 def _identity(docs: DataFrame) -> DataFrame:
     """d1, d2: a row's doc_id (null: the text's hash) and its text's hash. Equal rows have equal values."""
+    bounded_batches(docs.sparkSession)
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").isNull())
     return docs.withColumns({"_d1": F.coalesce(F.col("doc_id").cast("long"), th), "_d2": th})
 
