@@ -78,4 +78,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_tokens, op2_importance, op3_spotsigs, op4_simhash, op5_outliers, op6_packing, op7_lines, op8_mixture, op9_licenses, op10_passages)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_lines": """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text,''),chr(10))) AS line, generate_subscripts(string_split(coalesce(text,''),chr(10)),1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key<>'' GROUP BY key HAVING count(DISTINCT doc_id)>=10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL),'')) AS kept_sha256 FROM k LEFT JOIN f ON f.key=k.key GROUP BY doc_id""",
+}
