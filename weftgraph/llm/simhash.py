@@ -35,30 +35,40 @@ from weftgraph.llm.components import connected_components
 SUB_BITS = 11
 
 
-def fingerprint_of(text: str, words_per_shingle: int) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def shingle_hashes(text: str, words_per_shingle: int):
+    """XXH64 values (seed 42) of a text's word shingles, repeats included; none for a text without words."""
     import numpy as np
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined, k = b" ".join(words), words_per_shingle
     if len(words) <= k:
-        n, values = 1, [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        values = [digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1:].tolist())]
-        n = len(values)
-    h = np.array(values, dtype="<u8").view(np.uint8).reshape(n, 8)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1:].tolist())], dtype="<u8")
+
+
+def majority(values) -> int:
+    """The bits set in over half of the values, as a signed 64-bit integer."""
+    import numpy as np
+
+    n = len(values)
+    h = values.view(np.uint8).reshape(n, 8)
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 4096):
         votes += np.unpackbits(h[at:at + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint_of(text: str, words_per_shingle: int) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    return majority(shingle_hashes(text, words_per_shingle))
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     """doc_id, fp (long, the 64 bits as a signed number) and text_hash of each row."""
     def run(batches):
@@ -323,7 +333,11 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5, max_distance:
     """docs with one row of each component: the one with the smallest doc_id. Of rows that repeat that doc_id one stays.
 
     Rows with null doc_id stay only where their whole component has none; then all of them stay."""
-    classes = near_duplicates(docs, words_per_shingle, max_distance, **options)
+    return keep_first(docs, near_duplicates(docs, words_per_shingle, max_distance, **options))
+
+
+def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs with the row of each class that has its component_id as doc_id; classes as of near_duplicates()."""
     stay = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("_weft_id"), F.col("text_hash").alias("_weft_hash")).distinct()
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked = docs.withColumns({"_weft_own": F.col("doc_id").cast("long"), "_weft_th": th, "_weft_lone": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
