@@ -136,7 +136,7 @@ def untested_public(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 def hotspots(edges: DataFrame, symbols: DataFrame, first: int = 50, top: int = 10, least_score: int = 21) -> DataFrame:
     ranked = edges.where("kind = 'CALLS'").groupBy(owner(F.col("target_fqn")).alias("root")).agg(F.count("*").alias("incoming")).orderBy(F.desc("incoming"), "root").limit(first)
     ranked = stored(ranked, "hotspots")
-    scored = impact(edges, symbols, ranked.select("root")).where(F.col("score") >= least_score).select(F.col("symbol").alias("root"), "score", "level")
+    scored = impact(edges, symbols, ranked.select("root")).where(F.col("score") >= least_score).select(F.col("symbol").alias("root"), "score", "level", "transitive_callers", "affected_tests")
     return ranked.join(scored, "root").orderBy(F.desc("score"), F.desc("incoming"), "root").limit(top)
 
 
@@ -267,3 +267,67 @@ def symbol_at_line(symbols: DataFrame, positions: DataFrame) -> DataFrame:
     inside = F.col("line").between(F.col("line_start"), F.col("line_end"))
     rank = F.struct(F.when(inside, 0).otherwise(1).alias("t"), F.when(inside, F.col("line_start")).otherwise(F.abs(F.col("line_start") - F.col("line"))).alias("d"), F.col("qualified_name").alias("q"))
     return met.groupBy("file_path", "line").agg(F.min(rank).alias("b")).select("file_path", "line", F.col("b.q").alias("symbol"))
+
+
+# Patterns that read a service name and a path from an annotation's text, and the mappings that name a verb.
+SERVICE_PATTERNS = [r"""(?:name|value)\s*=\s*["']([^"']+)["']""", r"""@FeignClient\s*\(\s*["']([^"']+)["']"""]
+PATH_PATTERNS = [r"""(?:path|value)\s*=\s*["']([^"']+)["']""", r"""@(?:RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping)\s*\(\s*["']([^"']+)["']"""]
+OWN_PATH = r"""path\s*=\s*["']([^"']+)["']"""
+VERBS = ["Get", "Post", "Put", "Delete", "Patch"]
+
+
+def _said(note, patterns):
+    return F.coalesce(*[F.nullif(F.regexp_extract(note, p, 1), F.lit("")) for p in patterns])
+
+
+def _verb(note):
+    out = F.when(F.lower(note).contains("getmapping"), "GET")
+    for v in VERBS[1:]:
+        out = out.when(F.lower(note).contains(f"{v.lower()}mapping"), v.upper())
+    return out.when(F.lower(note).contains("requestmapping"), F.coalesce(F.nullif(F.regexp_extract(note, r"method\s*=\s*RequestMethod\.([A-Z]+)", 1), F.lit("")), F.lit("GET")))
+
+
+def endpoints(symbols: DataFrame) -> DataFrame:
+    """HTTP endpoints that annotated types and their methods declare: controllers' and, as clients, those of client interfaces.
+
+    symbols has repo_name. Of a method's annotations the first verb and the last path count; its type's path goes before."""
+    notes = F.coalesce("annotations", F.array().cast("array<string>"))
+    types = symbols.where("kind not in ('METHOD', 'FIELD')").withColumn("notes", notes)
+    client = F.exists("notes", lambda a: a.contains("FeignClient"))
+    kept = types.withColumn("is_client", client).where(client | F.exists("notes", lambda a: a.contains("Controller")))
+    first = kept.select("repo_name", F.col("qualified_name").alias("declaring_fqn"), "is_client", F.get(F.array_compact(F.transform("notes", lambda a: _said(a, SERVICE_PATTERNS))), F.lit(0)).alias("service"),
+                        F.get(F.array_compact(F.transform("notes", lambda a: F.when(a.contains("FeignClient"), _said(a, [OWN_PATH])).otherwise(_said(a, PATH_PATTERNS)))), F.lit(0)).alias("base"))
+    methods = symbols.where("kind = 'METHOD'").withColumn("notes", notes).select(F.col("repo_name"), F.col("parent_fqn").alias("declaring_fqn"), F.regexp_extract("qualified_name", r"#([^(]*)", 1).alias("member_name"),
+        F.get(F.array_compact(F.transform("notes", _verb)), F.lit(0)).alias("http_method"), F.element_at(F.concat(F.array(F.lit("")), F.array_compact(F.transform("notes", lambda a: _said(a, PATH_PATTERNS)))), -1).alias("sub"))
+    met = first.join(methods.where("http_method is not null"), ["repo_name", "declaring_fqn"])
+    joined = F.concat(*[F.when(F.trim(F.coalesce(c, F.lit("")), F.lit("/")) == "", "").otherwise(F.concat(F.lit("/"), F.trim(F.col(c), F.lit("/")))) for c in ("base", "sub")])
+    return met.select("repo_name", F.coalesce(F.when(F.col("is_client"), F.col("service")), F.col("repo_name")).alias("service_name"), "http_method", F.when(joined == "", "/").otherwise(joined).alias("path"), "declaring_fqn", "member_name", "is_client")
+
+
+def code_lens(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+    """fqn, direct_callers (CALLS edges into it) and callers (types that reach it in depth calls) of each root."""
+    direct = edges.where("kind = 'CALLS'").groupBy(owner(F.col("target_fqn")).alias("root")).agg(F.count("*").alias("direct_callers"))
+    far = traverse.reach(edges, roots, max_depth=depth).where("root <> node").groupBy("root").agg(F.countDistinct("node").alias("callers"))
+    return roots.select("root").distinct().join(direct, "root", "left").join(far, "root", "left").fillna(0, ["direct_callers", "callers"]).withColumnRenamed("root", "fqn")
+
+
+def couplings(edges: DataFrame, sources: DataFrame, targets: DataFrame, kinds=("CALLS", "USES")) -> DataFrame:
+    """Edges from types of sources to types of targets (column fqn each)."""
+    own = edges.where(F.col("kind").isin(*kinds)).withColumn("s", owner(F.col("source_fqn"))).withColumn("t", owner(F.col("target_fqn")))
+    inside = own.join(sources.select(F.col("fqn").alias("s")), "s", "left_semi").join(targets.select(F.col("fqn").alias("t")), "t", "left_semi")
+    return inside.drop("s", "t")
+
+
+def resolution_quality(edges: DataFrame) -> DataFrame:
+    """calls, and how many of them are only possible."""
+    return edges.where("kind = 'CALLS'").agg(F.count("*").alias("calls"), F.count_if(F.col("confidence") == "POSSIBLE").alias("possible"))
+
+
+def capped_callers(edges: DataFrame, fqn: str, limit: int = 50) -> DataFrame:
+    """The first callers by name, direct and transitive ones together, with the counts over all."""
+    far = traverse.transitive_callers(edges, fqn).select(F.col("node").alias("caller")).withColumn("direct", F.lit(False))
+    near = traverse.direct_callers(edges, fqn).select(owner(F.col("source_fqn")).alias("caller")).withColumn("direct", F.lit(True))
+    every = far.unionByName(near).groupBy("caller").agg(F.max("direct").alias("direct"))
+    counts = every.agg(F.count("*").alias("total"), F.count_if("direct").alias("direct_total"))
+    # counts is one row
+    return every.orderBy("caller").limit(limit).crossJoin(F.broadcast(counts))

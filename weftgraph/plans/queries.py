@@ -403,3 +403,77 @@ def debounce_sessions(spark, d):
 def edges_by_kind(spark, d):
     kinds = spark.createDataFrame([(k,) for k in ("IMPORTS", "EXTENDS", "IMPLEMENTS", "USES", "CALLS", "TESTS")], "kind string")
     return kinds.join(edges(spark, d).groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").fillna(0, ["n"])
+
+
+@query(VIEWS + PAIRS + "SELECT src, dst, count(*) AS edges FROM pp WHERE src<>dst GROUP BY 1,2")
+def package_pair_counts(spark, d):
+    e = edges(spark, d)
+    return e.select(ids.package(F.col("source_fqn")).alias("src"), ids.package(F.col("target_fqn")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("edges"))
+
+
+@query(VIEWS + "SELECT count(*) AS calls, count(*) FILTER (WHERE confidence='POSSIBLE') AS possible FROM g WHERE kind='CALLS'")
+def resolution_quality(spark, d):
+    return analyse.resolution_quality(edges(spark, d))
+
+
+@query(VIEWS + _closure("up", GEO, CALL, depth=3) + """, c AS (SELECT split_part(target_fqn,'#',1) AS root, count(*) AS n FROM g WHERE kind='CALLS' GROUP BY 1), u AS (SELECT root, count(DISTINCT node) AS n FROM up WHERE node<>root GROUP BY 1)
+SELECT qualified_name AS fqn, coalesce(c.n,0) AS direct_callers, coalesce(u.n,0) AS callers FROM y LEFT JOIN c ON c.root=qualified_name LEFT JOIN u ON u.root=qualified_name WHERE module='geo'""")
+def code_lens(spark, d):
+    return analyse.code_lens(edges(spark, d), _geo(spark, d))
+
+
+@query(VIEWS + """SELECT source_fqn, target_fqn, kind, line FROM g WHERE kind IN ('CALLS','USES') AND split_part(source_fqn,'#',1) IN (SELECT qualified_name FROM y WHERE note IN ('Controller','Deprecated')) AND split_part(target_fqn,'#',1) IN (SELECT qualified_name FROM y WHERE package IN ('geo.nation','catalog.supplier'))""")
+def layer_couplings(spark, d):
+    y = symbols(spark, d).withColumn("fqn", F.col("qualified_name"))
+    met = analyse.couplings(edges(spark, d), y.where(analyse.overlap(F.col("annotations"), ["Controller", "Deprecated"])), y.where(ids.package(F.col("fqn")).isin("geo.nation", "catalog.supplier")))
+    return met.select("source_fqn", "target_fqn", "kind", "line")
+
+
+@query(VIEWS + _closure("up", ONE, CALL) + """, a AS (SELECT caller, max(direct) AS direct FROM (SELECT node AS caller, false AS direct FROM up WHERE node<>root UNION ALL SELECT s, true FROM o WHERE kind='CALLS' AND t='%s') GROUP BY 1)
+SELECT caller, direct, (SELECT count(*) FROM a) AS total, (SELECT count(*) FROM a WHERE direct) AS direct_total FROM a ORDER BY caller LIMIT 50""" % ROOT)
+def capped_callers(spark, d):
+    return analyse.capped_callers(edges(spark, d), ROOT, 50)
+
+
+@query("""WITH t AS (SELECT n_nationkey AS k, n_nationkey%2=1 AS is_client FROM nation), m AS (SELECT s_suppkey AS m, s_nationkey AS k, s_suppkey%4 AS w FROM supplier WHERE s_suppkey%4<3)
+SELECT 'repo'||(t.k%3) AS repo_name, CASE WHEN is_client THEN 'svc-'||t.k ELSE 'repo'||(t.k%3) END AS service_name, CASE w WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS http_method,
+'/n'||t.k||CASE w WHEN 0 THEN '/{id}' WHEN 1 THEN '/x'||m ELSE '/y' END AS path, 'geo.nation.N'||t.k AS declaring_fqn, 'm'||m AS member_name, is_client FROM t JOIN m USING (k)""")
+def endpoint_extraction(spark, d):
+    key = lambda c: F.col(c).cast("string")
+    repo = F.concat(F.lit("repo"), (F.col("k") % 3).cast("string"))
+    control = F.array(F.lit("RestController"), F.concat(F.lit('@RequestMapping("/n'), key("k"), F.lit('/")')))
+    client = F.array(F.concat(F.lit('@FeignClient(name = "svc-'), key("k"), F.lit('")')), F.concat(F.lit('@RequestMapping(path = "n'), key("k"), F.lit('")')))
+    types = table(spark, d, "nation").withColumn("k", F.col("n_nationkey")).select(repo.alias("repo_name"), F.lit("CLASS").alias("kind"), F.concat(F.lit("geo.nation.N"), key("k")).alias("qualified_name"), F.lit(None).cast("string").alias("parent_fqn"), F.when(F.col("k") % 2 == 1, client).otherwise(control).alias("annotations"))
+    note = F.element_at(F.array(F.lit('@GetMapping("/{id}")'), F.concat(F.lit('@PostMapping(path="/x'), key("m"), F.lit('")')), F.lit('@RequestMapping(value = "y"; method = RequestMethod.PUT)'), F.lit("@Override")), (F.col("m") % 4 + 1).cast("int"))
+    own = F.concat(F.lit("geo.nation.N"), key("k"))
+    methods = table(spark, d, "supplier").withColumn("k", F.col("s_nationkey")).withColumn("m", F.col("s_suppkey")).select(repo.alias("repo_name"), F.lit("METHOD").alias("kind"), F.concat(own, F.lit("#m"), key("m"), F.lit("(String)")).alias("qualified_name"), own.alias("parent_fqn"), F.array(note).alias("annotations"))
+    return analyse.endpoints(types.unionByName(methods))
+
+
+@query(VIEWS + "SELECT DISTINCT module, file_path FROM y WHERE qualified_name IN (SELECT s FROM o WHERE kind='CALLS' AND t LIKE 'geo.%')")
+def diagnostics_files(spark, d):
+    hits = edges(spark, d).where("kind = 'CALLS' and target_fqn like 'geo.%'").select(ids.owner(F.col("source_fqn")).alias("qualified_name"))
+    return symbols(spark, d).join(hits, "qualified_name", "left_semi").select("module", "file_path").distinct()
+
+
+@query(VIEWS + "SELECT qualified_name, module FROM y WHERE module<>'catalog'")
+def module_delete(spark, d):
+    return store.delete_module(symbols(spark, d), "catalog").select("qualified_name", "module")
+
+
+@query("SELECT vec_id, CASE WHEN vec_id%2=0 THEN label+1 ELSE label END AS label FROM embeddings")
+def embedding_upsert(spark, d):
+    old = table(spark, d, "embeddings").select("vec_id", "label").withColumn("written", F.lit(0))
+    new = old.where("vec_id % 2 = 0").select("vec_id", (F.col("label") + 1).alias("label"), F.lit(1).alias("written"))
+    return store.keep_last(old.unionByName(new), ["vec_id"], [F.col("written")]).select("vec_id", "label")
+
+
+@query(VIEWS + """, e AS (SELECT split_part(source_fqn,'#',1) AS source, split_part(target_fqn,'#',1) AS target, kind, line FROM g WHERE split_part(source_fqn,'#',1)<>split_part(target_fqn,'#',1) AND kind IN ('CALLS','USES')),
+m AS (SELECT e.* FROM e JOIN y a ON a.qualified_name=source JOIN y b ON b.qualified_name=target)
+SELECT 'three-tier-controller-to-repo-bypass' AS rule, source, target, min(line) AS line FROM m WHERE regexp_matches(source,'(.*\\.)?(controller|controllers|web|api)(\\..*)?') AND regexp_matches(target,'(.*\\.)?(repository|repositories|repo|dao|persistence)(\\..*)?') GROUP BY 1,2,3
+UNION ALL SELECT 'sales-to-geo', source, target, min(line) FROM m WHERE regexp_matches(source,'sales\\.(.*\\.)?customer(\\..*)?') AND regexp_matches(target,'geo\\.nation(\\..*)?') GROUP BY 1,2,3""")
+def preset_rules(spark, d):
+    from weftgraph.sources.rules import parse_rules, preset, to_yaml
+
+    own = [{"name": "sales-to-geo", "source": {"pattern": r"sales\.(.*\.)?customer(\..*)?"}, "target": {"pattern": r"geo\.nation(\..*)?"}, "kinds": ["CALLS", "USES"]}]
+    return analyse.rule_violations(edges(spark, d), symbols(spark, d), parse_rules(to_yaml(preset("3-tier")[2:] + own)))
