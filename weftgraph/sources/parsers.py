@@ -182,9 +182,9 @@ def _java_type(src: Source, out: Facts, m: re.Match) -> None:
         else:
             i += 1
     _lombok(out, own, notes, fields, line)
+    declared, qualifiers, siblings = {f: t for f, (t, *_) in fields.items()}, {f: q for f, (*_, q) in fields.items()}, {n for n, *_ in methods}
     for name, params, start, stop in methods:
-        known = {**{f: t for f, (t, *_) in fields.items()}, **params}
-        _java_calls(src, out, own, name, known, {f: q for f, (*_, q) in fields.items()}, {n for n, *_ in methods}, start, stop)
+        _java_calls(src, out, own, name, declared | params, qualifiers, siblings, start, stop)
 
 
 def _java_member(src, out, own, type_kind, at, head_end, stop, block, notes, head, fields, methods):
