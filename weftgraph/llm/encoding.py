@@ -8,6 +8,8 @@ from array import array
 _OWN: dict[str, Encoder] = {}
 #: At the end of a word of letters each of these is a pre-token of its own.
 MARKS = ".,"
+#: Bytes that a cached word takes in a process, about: two objects and a place in the table.
+ENTRY = 200
 
 
 def encoder(path: str) -> Encoder:
@@ -17,15 +19,31 @@ def encoder(path: str) -> Encoder:
     return _OWN[path]
 
 
+def forget() -> None:
+    """Frees this process's encoders; called by tasks that no longer encode but may run in a process that did."""
+    if _OWN:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        _OWN.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise
+        if trim:
+            trim(0)
+
+
 class Encoder:
     """ids(text) equals encode(text, add_special_tokens=False).ids of the file's tokenizer, special strings taken as text.
 
     Both kinds of pre-tokenizer here start a new pre-token at a space that has a non-space on either side, so a text
     is the sequence of its words' encodings, each with the space before it. A text with a space next to other white
-    space, or at an end, is encoded as it stands. The cache holds as many words as fit max_cached, then rare ones go; that
-    changes no result."""
+    space, or at an end, is encoded as it stands. The cache holds about max_bytes, then rare words go; texts are taken in slices of about
+    slice_chars characters. Neither changes a result."""
 
-    def __init__(self, path: str, max_cached: int = 600_000):
+    def __init__(self, path: str, max_bytes: int = 100_000_000, slice_chars: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,7 +51,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.max_cached, self.cache, self.first = max_cached, {}, {}
+        self.max_bytes, self.slice_chars = max_bytes, slice_chars
+        self.cache, self.old, self.first = {}, {}, {}
 
         self.ends = self._boundaries()
         self.folds = self._whole(["A"]) == self._whole(["a"])
@@ -83,17 +102,49 @@ class Encoder:
             w, mark = w[:-1], w[-1]
         return (w.lower() if self.folds and w.isascii() else w), mark
 
-    def _room(self, cache: dict, now) -> None:
-        """Beyond max_cached words: those of the current texts stay, which the frequent ones are among, and the newest third."""
-        if len(cache) > self.max_cached:
-            kept = {w: cache[w] for w in now if w in cache}
-            kept |= {w: cache[w] for w in list(cache)[-self.max_cached // 3:]}
-            cache.clear()
-            cache.update(kept)
+    def _turn(self) -> None:
+        """Beyond max_bytes (of which a word takes about ENTRY) the older half goes; a word that is met again is young again."""
+        if len(self.cache) > self.max_bytes // ENTRY // 2:
+            self.old, self.cache = self.cache, {}
+        if len(self.first) > self.max_bytes // ENTRY // 8:
+            self.first.clear()
 
-    def encode(self, texts: list[str], at_once: int = 2500) -> list:
+    def encode(self, texts: list[str]) -> list:
         """Each text's ids as a uint32 array."""
-        return [x for k in range(0, len(texts), at_once) for x in self._some(texts[k:k + at_once])]
+        out, at, size = [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= self.slice_chars:
+                out += self._some(texts[at:k + 1])
+                at, size = k + 1, 0
+        return out + self._some(texts[at:]) if at < len(texts) else out
+
+    def _entries(self, words: list[str]):
+        """Each word's ids as bytes, and which words stand next to other white space (empty entries)."""
+        import numpy as np
+
+        cache, old, marks, parts = self.cache, self.old, self.marks, self._parts
+        out, odd, todo, missing = list(map(cache.get, words)), np.zeros(len(words), bool), [], {}
+        for i, e in enumerate(out):
+            if e is None:
+                w = words[i]
+                if not w or w[0].isspace() or w[-1].isspace():
+                    odd[i], out[i] = True, b""
+                    continue
+                w, mark = parts(w)
+                e = cache.get(w)
+                if e is None and (e := old.get(w)) is not None:
+                    cache[w] = e
+                if e is None:
+                    missing[w] = None
+                    todo.append((i, w, mark))
+                else:
+                    out[i] = e + marks[mark] if mark else e
+        if missing:
+            cache.update(zip(missing, self._words(list(missing))))
+        for i, w, mark in todo:
+            out[i] = cache[w] + marks[mark]
+        return out, odd
 
     def _some(self, texts: list[str]) -> list:
         """Arrow splits the texts and numbers their distinct words; only those are looked up, and numpy lays out the ids."""
@@ -101,31 +152,25 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        cache, first = self.cache, self.first
+        first = self.first
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = split.offsets.to_numpy()
         numbered = split.values.dictionary_encode()
         code, words = numbered.indices.to_numpy().astype(np.int32), numbered.dictionary.to_pylist()
         heads = [words[c] for c in code[offsets[:-1]].tolist()]
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words])
+        entries, odd = self._entries(words)
         whole = np.add.reduceat(odd[code], offsets[:-1]) > 0
-        parts = [self._parts(w) for w in words]
-        missing = list(dict.fromkeys([w for (w, _), o in zip(parts, odd.tolist()) if w not in cache and not o]))
-        if missing:
-            cache.update(zip(missing, self._words(missing)))
         new = [w for w in dict.fromkeys(heads) if w not in first]
         if new:
             first.update(zip(new, self._whole(new)))
-        marks = self.marks
-        entries = [b"" if o else cache[w] + marks[m] if m else cache[w] for (w, m), o in zip(parts, odd.tolist())] + [first[w] for w in heads]
-        self._room(cache, (w for w, _ in parts))
-        self._room(first, heads)
+        entries += [first[w] for w in heads]
+        self._turn()
         sizes = np.fromiter(map(len, entries), dtype=np.int32, count=len(entries)) // 4
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
         code[offsets[:-1]] = len(words) + np.arange(len(texts))
         lens = sizes[code]
-        ends = np.cumsum(lens, dtype=np.int32)
-        ids = np.frombuffer(b"".join(entries), dtype=np.uint32)[np.repeat(starts[code] - (ends - lens), lens) + np.arange(ends[-1], dtype=np.int32)]
+        ends = np.cumsum(lens, dtype=np.int64)
+        ids = np.frombuffer(b"".join(entries), dtype=np.uint32)[np.repeat(starts[code] - (ends - lens), lens) + np.arange(ends[-1])]
         bounds = np.concatenate(([0], ends))[offsets]
         out = [ids[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         for i in np.flatnonzero(whole).tolist():

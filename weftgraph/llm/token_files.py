@@ -9,11 +9,12 @@ first, ties by text hash), each document compressed on its own:
     index            doc_id, offset, n_tokens of each document (64-bit little-endian triples; null id: the least long)
     payload          the frames, one after another
 
-Ids are little-endian, two bytes each where the vocabulary allows it, else four. Parquet's writer commits whole
+Ids are little-endian, two bytes each where the vocabulary and the end id allow it, else four; the dictionary's row says which. Parquet's writer commits whole
 files, so a lost executor leaves no half-written blocks, and any store that Spark writes will do.
 
-The dictionary is fitted to a bounded sample: the ``sample_docs`` documents of least id hash, ``sample_bytes`` of each.
-It changes sizes only. Too few samples to train: no dictionary, and its hash is that of no bytes.
+The dictionary is fitted to a bounded sample: of the ``sample_docs`` documents of least id hash (ties by text) a stretch of
+``sample_bytes`` each, at a place that the hash gives. It changes sizes only. Where the sample is small it is repeated until the
+trainer takes it, so every file set has a dictionary; that of an empty table is trained on the end id.
 
 Null text: empty, the end id alone. Repeated rows: each is written. Empty table: no blocks.
 """
@@ -26,48 +27,71 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm._common import materialize, narrow, partitions, scratch_dir
-from weftgraph.llm.encoding import encoder
+from weftgraph.llm.encoding import encoder, forget
 
 NO_ID = -(1 << 63)
 BLOCKS = "task int, block int, dict_sha256 string, first_id long, last_id long, start long, n_tokens long, index binary, payload binary"
 
 
 def train(samples: list[bytes], size: int = 32_768) -> bytes:
+    """A dictionary of at most size bytes. Few or equal samples are repeated; content that the trainer finds nothing in is
+    the dictionary itself."""
     import zstandard
 
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
-        return b""
-    return zstandard.train_dictionary(size, samples, threads=1).as_bytes()
+    samples = [x for x in samples if len(x) >= 8] or [b"\0" * 8]
+    total = sum(map(len, samples))
+    rounds = max(1, -(-64 // len(samples)), -(-8 * size // total))
+    try:
+        return zstandard.train_dictionary(size, samples * rounds, threads=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
+
+
+def _dictionary(data: bytes):
+    import zstandard
+
+    return zstandard.ZstdCompressionDict(data)
 
 
 def _compressor(dictionary: bytes, level: int):
     import zstandard
 
-    kind = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-    if dictionary:
-        kind["dict_data"].precompute_compress(level=level)  # else each frame digests it anew
-    return zstandard.ZstdCompressor(level=level, write_content_size=True, write_dict_id=False, **kind)
+    own = _dictionary(dictionary)
+    own.precompute_compress(level=level)  # else each frame digests it anew
+    return zstandard.ZstdCompressor(level=level, write_content_size=True, write_dict_id=False, dict_data=own)
 
 
 def _decompressor(dictionary: bytes):
     import zstandard
 
-    return zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
+    return zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_bytes: int = 2, block_docs: int = 512, level: int = 3,
+def width_of(tokenizer: str, end_id: int) -> int:
+    """Bytes an id takes."""
+    most = max(max(encoder(tokenizer).tokenizer.get_vocab().values()), end_id)
+    return 2 if most < 1 << 16 else 4
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_docs: int = 512, level: int = 3,
           sample_docs: int = 1000, sample_bytes: int = 4096) -> None:
+    import numpy as np
+
     spark = docs.sparkSession
     texts = narrow(docs, "text").withColumn("text_hash", F.xxhash64("text"))
+    id_bytes = width_of(tokenizer, end_id)
     kind = f"<u{id_bytes}"
-    # the ids alone give the cut; then sample_docs rows of bounded length are read
+    # the ids alone give the cut; then rows of bounded length are read
     h = F.xxhash64("doc_id")
     least = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    picked = texts.where(h <= F.lit(least)).select(h.alias("h"), F.substring("text", 1, 2 * sample_bytes).alias("text")).limit(sample_docs).collect()
-    picked.sort(key=lambda r: (r["h"], r["text"]))
-    dictionary = train([encoder(tokenizer).ids(r["text"]).astype(kind).tobytes()[:sample_bytes] for r in picked])
+    start = F.pmod(h, F.greatest(F.length("text") - 2 * sample_bytes, F.lit(0)) + 1).cast("int") + 1
+    stretch = F.substring(F.col("text"), start, F.lit(2 * sample_bytes))
+    picked = texts.where(h <= F.lit(least)).select(h.alias("h"), stretch.alias("text")).distinct().orderBy("h", "text").limit(sample_docs).collect()
+    own = encoder(tokenizer)
+    dictionary = train([np.append(own.ids(r["text"]), np.uint32(end_id)).astype(kind).tobytes()[:sample_bytes] for r in picked])
     digest = hashlib.sha256(dictionary).hexdigest()
-    spark.createDataFrame([(digest, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    head = spark.createDataFrame([(digest, bytearray(dictionary), id_bytes)], "sha256 string, dictionary binary, id_bytes int")
+    head.coalesce(1).write.parquet(f"{path}/dictionary")
 
     def encode(batches):
         import numpy as np
@@ -87,14 +111,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_bytes:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        forget()
         task, at, start, held = TaskContext.get().partitionId(), 0, 0, []
 
         def full():
             nonlocal at, start, held
             ids = [NO_ID if d is None else d for d, _, _ in held]
-            sizes = [len(f) for _, _, f in held]
-            index = np.array([ids, np.concatenate(([0], np.cumsum(sizes)[:-1])), [n for _, n, _ in held]], dtype="<i8").T.tobytes()
-            row = {"task": task, "block": at, "dict_sha256": digest, "first_id": ids[0], "last_id": ids[-1], "start": start, "n_tokens": sum(n for _, n, _ in held), "index": index, "payload": b"".join(f for _, _, f in held)}
+            counts = [n for _, n, _ in held]
+            frames = [f for _, _, f in held]
+            places = np.cumsum([0, *map(len, frames)])[:-1]
+            index = np.array([ids, places, counts], dtype="<i8").T.tobytes()
+            row = {"task": task, "block": at, "dict_sha256": digest, "first_id": ids[0], "last_id": ids[-1],
+                   "start": start, "n_tokens": sum(counts), "index": index, "payload": b"".join(frames)}
             at, start, held = at + 1, start + row["n_tokens"], []
             types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
@@ -114,17 +142,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_bytes:
     ranged.mapInArrow(block, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def dictionary_of(spark: SparkSession, path: str) -> bytes:
+def dictionary_of(spark: SparkSession, path: str) -> tuple[bytes, int]:
+    """The dictionary, and the bytes an id takes."""
     row = spark.read.parquet(f"{path}/dictionary").first()
     if hashlib.sha256(row["dictionary"]).hexdigest() != row["sha256"]:
         raise ValueError("the dictionary does not have the hash it is filed under")
-    return bytes(row["dictionary"])
+    return bytes(row["dictionary"]), row["id_bytes"]
 
 
-def read(spark: SparkSession, path: str, digest_only: bool = False, id_bytes: int = 2, doc_ids: list[int] | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, digest_only: bool = False, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as 32-bit little-endian) and, unless
     digest_only, ids. doc_ids: these documents alone; only the blocks and frames that hold them are read and decompressed."""
-    dictionary = dictionary_of(spark, path)
+    dictionary, id_bytes = dictionary_of(spark, path)
     digest, kind = hashlib.sha256(dictionary).hexdigest(), f"<u{id_bytes}"
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     # one row a task of the writer
@@ -135,7 +164,7 @@ def read(spark: SparkSession, path: str, digest_only: bool = False, id_bytes: in
         for d in doc_ids:
             wanted = wanted | F.lit(d).between(F.col("first_id"), F.col("last_id"))
         blocks = blocks.where(wanted)
-    placed = blocks.join(F.broadcast(bases), F.col("task") == F.col("of")).select("dict_sha256", (F.col("start") + F.col("base")).alias("start"), "index", "payload")
+    placed = blocks.join(bases, F.col("task") == F.col("of")).select("dict_sha256", (F.col("start") + F.col("base")).alias("start"), "index", "payload")
     only = None if doc_ids is None else set(doc_ids)
 
     def decode(batches):
@@ -144,6 +173,7 @@ def read(spark: SparkSession, path: str, digest_only: bool = False, id_bytes: in
         import numpy as np
         import pyarrow as pa
 
+        forget()
         unzip = _decompressor(dictionary)
         for b in batches:
             for sha, start, index, payload in zip(*(c.to_pylist() for c in b.columns)):
