@@ -13,9 +13,16 @@ of 1/32 octave), so nothing is sorted and no group meets in one task. Rows whose
 chi-square quantile 1 - ``tail`` go. The scatter's diagonal has a floor (``FLOOR`` squared) per
 statistic, so that a group whose members agree exactly doesn't reject the next best text.
 
-Groups of under ``min_rows`` rows are pooled by language, and languages of under min_rows such rows with each
-other; a pool still under min_rows gives no verdict and its rows are kept. Null language or source: a value of
-its own. Null text: no words. Null doc_id and repeated rows: each row is judged. Empty table: no rows.
+Every (language, source) group is fitted, whatever its size, and so are every language and the whole table. A group's
+estimate is drawn toward its language's as if it held ``PRIOR`` rows more of that centre and scatter, and the language's in the
+same way toward the whole table's, the scatter growing by the distance of the centres. So small groups lean on their language, large
+ones stand for themselves, nothing switches at a size, and every row that passes the base rules gets a distance.
+
+Estimates meet their rows by a broadcast where the counted groups are at most ``BROADCAST``. Beyond that the groups of more than
+1/BROADCAST of all rows, of which there can't be more than BROADCAST, are broadcast and the others joined by key.
+
+Null language or source: a value of its own. Null text: no words. Null doc_id and repeated rows: each row is judged.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +38,10 @@ P = 5
 X = [f"x{i}" for i in range(P)]
 #: Least spread of each statistic: log words, word length, square roots of symbol, line and word rates.
 FLOOR = (0.25, 0.5, 0.12, 0.15, 0.15)
+#: Rows' weight of the wider group's estimate in a group's own.
+PRIOR = 30
+#: Groups whose estimates (a row of some 200 bytes each) are broadcast at most.
+BROADCAST = 20_000
 
 
 def let(value: Column, body) -> Column:
@@ -108,18 +119,16 @@ def vector() -> dict[str, Column]:
     return dict(zip(X, (F.log(n), chars / n, F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n))))
 
 
-def _scatter(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
-    """Mean (m), lower Cholesky factor (l, by rows) and log determinant of each group's covariance times factor."""
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in pairs])
-    mean = [F.col(f"s_{x}") / F.col("n") for x in X]
-    cov = F.array(*[F.greatest(F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j], F.lit(0.0)) * factor + FLOOR[i] ** 2 if i == j else (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) * factor for i, j in pairs])
-    at = {p: k for k, p in enumerate(pairs)}
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+AT = {p: k for k, p in enumerate(PAIRS)}
 
+
+def cholesky(cov: Column) -> Column:
+    """The lower factor of a covariance, both as arrays by rows."""
     def column(j, c, done):
         """The factor's column j from the earlier ones; done has them as arrays of P."""
         def dot(i):
-            out = c[at[i, j]]
+            out = c[AT[i, j]]
             for d in done:
                 out = out - d[i] * d[j]
             return out
@@ -127,11 +136,23 @@ def _scatter(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
         root = F.sqrt(F.greatest(dot(j), F.lit(1e-12)))
         own = let(root, lambda r: F.array(*[F.lit(0.0) if i < j else r if i == j else dot(i) / r for i in range(P)]))
         if j == P - 1:
-            return let(own, lambda d: F.array(*[[*done, d][k][i] for i, k in pairs]))
+            return let(own, lambda d: F.array(*[[*done, d][k][i] for i, k in PAIRS]))
         return let(own, lambda d: column(j + 1, c, [*done, d]))
 
-    out = sums.select(*by, "n", F.array(*mean).alias("m"), let(cov, lambda c: column(0, c, [])).alias("l"))
-    return out.withColumn("logdet", sum((F.log(F.col("l")[at[i, i]]) for i in range(P)), F.lit(0.0)))
+    return let(cov, lambda c: column(0, c, []))
+
+
+def _scatter(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """Mean (m), covariance times factor (c, by rows), its lower Cholesky factor (l) and log determinant of each group."""
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS])
+    mean = [F.col(f"s_{x}") / F.col("n") for x in X]
+
+    def covariance(i, j):
+        own = F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]
+        return F.greatest(own, F.lit(0.0)) * factor + FLOOR[i] ** 2 if i == j else own * factor
+
+    out = sums.select(*by, "n", F.array(*mean).alias("m"), F.array(*[covariance(i, j) for i, j in PAIRS]).alias("c")).withColumn("l", cholesky(F.col("c")))
+    return out.withColumn("logdet", sum((F.log(F.col("l")[AT[i, i]]) for i in range(P)), F.lit(0.0)))
 
 
 def _distance() -> Column:
@@ -149,60 +170,82 @@ def _bin(d: Column) -> Column:
     return F.floor(32 * F.log2(d + F.lit(1e-6))).cast("int")
 
 
-#: A group's rows meet its estimates in this many places, so that a large group is no task's alone.
-SALTS = 32
+def _meet(rows: DataFrame, estimates: DataFrame, heavy: DataFrame | None, on=("gid",)) -> DataFrame:
+    """rows with their group's estimates (one or two a group). heavy: the groups whose estimates are broadcast; None: all of them."""
+    if heavy is None:
+        return rows.join(F.broadcast(estimates), list(on))
+    large = F.broadcast(estimates.join(F.broadcast(heavy), list(on), "left_semi"))
+    small = rows.join(F.broadcast(heavy), list(on), "left_anti")
+    return rows.join(large, list(on)).unionByName(small.join(estimates.hint("shuffle_hash"), list(on)))
 
 
-def _meet(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with their group's estimates: every salt of the rows has a copy of the group's one row (or two)."""
-    copies = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int")).join(copies, ["gid", "_salt"]).drop("_salt")
+def _heavy(sizes: DataFrame, on=("gid",), limit: int | None = None) -> DataFrame | None:
+    """sizes: group keys and n. Groups that hold over 1/limit of the rows, if there are over limit groups; else None."""
+    limit = limit or BROADCAST
+    groups, total = sizes.agg(F.count("*"), F.sum("n")).first()
+    return None if groups <= limit else materialize(sizes.where(F.col("n") > total / limit).select(*on), "mcd-heavy")
 
 
-def fit(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """rows: gid and the statistics. Returns gid, m, l."""
-    middle = rows.groupBy("gid").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"c_{x}") for x in X])
+def fit(rows: DataFrame, share: float = 0.75, steps: int = 3, limit: int | None = None) -> DataFrame:
+    """rows: gid and the statistics. Returns gid, n (rows of the group), m, c, l."""
+    middle = rows.groupBy("gid").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 10_000).alias(f"c_{x}") for x in X])
     middle = materialize(middle, "mcd-middle")
-    off = _meet(rows, middle).groupBy("gid").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{x}")), 0.5, 1000).alias(f"a_{x}") for x in X])
+    heavy = _heavy(middle, limit=limit)
+    off = _meet(rows, middle, heavy).groupBy("gid").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{x}")), 0.5, 10_000).alias(f"a_{x}") for x in X])
     diagonal = [[F.lit(0.0)] * i + [F.greatest(1.4826 * F.col(f"a_{X[i]}"), F.lit(FLOOR[i]))] for i in range(P)]
-    robust = middle.join(off, "gid").select("gid", F.lit(0).alias("start"), F.array(*[F.col(f"c_{x}") for x in X]).alias("m"), F.array(*[x for row in diagonal for x in row]).alias("l"))
+    centre = F.array(*[F.col(f"c_{x}") for x in X])
+    robust = middle.join(off, "gid").select("gid", F.lit(0).alias("start"), centre.alias("m"), F.array(*[x for row in diagonal for x in row]).alias("l"))
     plain = _scatter(rows, ["gid"], 1.0).select("gid", F.lit(1).alias("start"), "m", "l")
     now = materialize(robust.unionByName(plain), "mcd-starts")
     by = ["gid", "start"]
     for _ in range(steps):
-        far = _meet(rows, now).withColumn("bin", _bin(_distance()))
+        far = _meet(rows, now, heavy).withColumn("bin", _bin(_distance()))
         counted = far.groupBy(*by, "bin").agg(F.count("*").alias("k"))
         upto = counted.withColumn("upto", F.sum("k").over(Window.partitionBy(*by).orderBy("bin"))).withColumn("all", F.sum("k").over(Window.partitionBy(*by)))
         cut = upto.where(F.col("upto") >= F.floor(share * F.col("all"))).groupBy(*by).agg(F.min("bin").alias("cut"))
         cut = now.join(materialize(cut, "mcd-cut"), by)
-        near = _meet(rows, cut).where(_bin(_distance()) <= F.col("cut"))
-        now = materialize(_scatter(near, by, consistency(share)), "mcd-step")
-    best = now.groupBy("gid").agg(F.min(F.struct("logdet", "start", "m", "l")).alias("b")).select("gid", "b.m", "b.l")
-    near = _meet(rows, materialize(best, "mcd-best")).where(_distance() <= chi2_quantile(0.975, P))
-    return materialize(_scatter(near, ["gid"], consistency(0.975)).select("gid", "m", "l"), "mcd-final")
-
-
-def judge(docs: DataFrame, min_words: int = 50, min_rows: int = 100, tail: float = 1e-4, keys: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the base counts, base_failed, distance (null where there is no verdict) and kept of each row; keys: columns to carry."""
+        near = _meet(rows, cut, heavy).where(_bin(_distance()) <= F.col("cut"))
+        now = materialize(_scatter(near, by, consistency(share)).select(*by, "m", "c", "l", "logdet"), "mcd-step")
+    best = now.groupBy("gid").agg(F.min(F.struct("logdet", "start", "m", "c", "l")).alias("b")).select("gid", "b.m", "b.c", "b.l")
+    best = materialize(best, "mcd-best")
+    near = _meet(rows, best, heavy).where(_distance() <= chi2_quantile(0.975, P))
+    last = _scatter(near, ["gid"], consistency(0.975)).select("gid", F.col("m").alias("m1"), F.col("c").alias("c1"), F.col("l").alias("l1"))
+    out = middle.select("gid", "n").join(best, "gid").join(last, "gid", "left")
+    return materialize(out.select("gid", "n", *[F.coalesce(f"{x}1", x).alias(x) for x in "mcl"]), "mcd-final")
+
+
+def _drawn(own: DataFrame, wide: DataFrame, key: str) -> DataFrame:
+    """own (n, m, c) drawn toward wide (its m and c, found by key), as if it held PRIOR rows of the latter."""
+    met = own.join(wide.select(F.col("gid").alias(key), F.col("m").alias("wm"), F.col("c").alias("wc")), key)
+    n, k = F.col("n").cast("double"), F.lit(float(PRIOR))
+    mean = F.array(*[(n * F.col("m")[i] + k * F.col("wm")[i]) / (n + k) for i in range(P)])
+    apart = [F.col("m")[i] - F.col("wm")[i] for i in range(P)]
+    cov = F.array(*[(n * F.col("c")[a] + k * F.col("wc")[a]) / (n + k) + n * k / ((n + k) * (n + k)) * apart[i] * apart[j] for a, (i, j) in enumerate(PAIRS)])
+    return met.withColumns({"m": mean, "c": cov}).drop("wm", "wc")
+
+
+def judge(docs: DataFrame, min_words: int = 50, tail: float = 1e-4, keys: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, distance (null where the base rules failed) and kept of each row; keys: columns to carry."""
     rows = base_statistics(docs, min_words, ("lang", "source", *keys)).withColumns(vector())
-    rows = materialize(rows.withColumn("lang", F.col("lang").cast("string")).withColumn("source", F.col("source").cast("string")), "quality-statistics")
+    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
+    by_lang = F.xxhash64(F.lit(1), lang.isNull(), lang)
+    by_both = F.xxhash64(F.lit(2), lang.isNull(), lang, source.isNull(), source)
+    rows = materialize(rows.withColumns({"gid": by_both, "_lang_gid": by_lang}).drop("lang", "source"), "quality-statistics")
     passed = rows.where("not base_failed")
-    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.when(F.col("n") < min_rows, F.col("n"))
-    sizes = sizes.withColumn("pool", F.sum(small).over(Window.partitionBy("lang")))
-    groups = sizes.select("lang", "source", F.when(F.col("n") >= min_rows, F.xxhash64(F.lit(0), F.col("lang").isNull(), F.col("lang"), F.col("source").isNull(), F.col("source")))
-                          .when(F.col("pool") >= min_rows, F.xxhash64(F.lit(1), F.col("lang").isNull(), F.col("lang"))).otherwise(F.lit(0).cast("long")).alias("gid"))
-    groups = materialize(groups, "quality-groups")
-    same = F.col("r.lang").eqNullSafe(F.col("g.lang")) & F.col("r.source").eqNullSafe(F.col("g.source"))
-    keyed = passed.alias("r").join(groups.alias("g"), same).select("g.gid", *[f"r.{x}" for x in X])
-    keyed = materialize(keyed, "quality-vectors")
-    fitted = fit(keyed)
-    enough = keyed.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select("gid")
-    estimates = materialize(groups.join(fitted.join(enough, "gid"), "gid"), "quality-estimates")
-    judged = rows.alias("r").join(estimates.alias("g"), same, "left").select("r.*", "m", "l")
-    distance = F.when(~F.col("base_failed"), F.sqrt(_distance()))
-    verdict = ~F.col("base_failed") & F.coalesce(distance <= math.sqrt(chi2_quantile(1 - tail, P)), F.lit(True))
-    return judged.select("doc_id", *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), distance.alias("distance"))
+    levels = passed.select(F.explode(F.array(F.col("gid"), F.col("_lang_gid"), F.lit(0).cast("long"))).alias("gid"), *X)
+    fitted = fit(levels, limit=limit)
+    every, langs = fitted.where("gid = 0"), passed.select("gid", "_lang_gid").distinct()
+    of_lang = fitted.join(langs.select("_lang_gid").distinct(), F.col("gid") == F.col("_lang_gid")).drop("_lang_gid").withColumn("_all", F.lit(0).cast("long"))
+    of_lang = _drawn(of_lang, every, "_all").drop("_all")
+    final = _drawn(fitted.join(langs, "gid"), of_lang, "_lang_gid").select("gid", "n", "m", cholesky(F.col("c")).alias("l"))
+    final = materialize(final, "quality-estimates")
+    judged = _meet(passed, final.drop("n"), _heavy(final.select("gid", "n"), limit=limit))
+    distance = F.sqrt(_distance())
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    verdict = distance <= math.sqrt(chi2_quantile(1 - tail, P))
+    good = judged.select("doc_id", *keys, *counts, verdict.alias("kept"), distance.alias("distance"))
+    failed = rows.where("base_failed").select("doc_id", *keys, *counts, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
+    return good.unionByName(failed)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

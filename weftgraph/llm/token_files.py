@@ -156,9 +156,11 @@ def read(spark: SparkSession, path: str, digest_only: bool = False, doc_ids: lis
     dictionary, id_bytes = dictionary_of(spark, path)
     digest, kind = hashlib.sha256(dictionary).hexdigest(), f"<u{id_bytes}"
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    # one row a task of the writer
+    # one row a task of the writer: broadcast up to a counted 200 000 of them
     totals = blocks.groupBy("task").agg(F.sum("n_tokens").alias("n"))
     bases = totals.select(F.col("task").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    if totals.count() <= 200_000:
+        bases = F.broadcast(bases)
     if doc_ids is not None:
         wanted = F.lit(False)
         for d in doc_ids:
