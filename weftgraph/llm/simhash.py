@@ -342,4 +342,7 @@ def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked = docs.withColumns({"_weft_own": F.col("doc_id").cast("long"), "_weft_th": th, "_weft_lone": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
     met = marked.join(stay, F.col("_weft_own").eqNullSafe(F.col("_weft_id")) & (F.col("_weft_th") == F.col("_weft_hash")), "left_semi")
-    return met.dropDuplicates(["_weft_own", "_weft_lone"]).select(*[F.col(c) for c in docs.columns])
+    # of rows that repeat a doc_id the one with the least hash of its columns (maps have none) stays
+    order = F.xxhash64(*[F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    one = met.groupBy("_weft_own", "_weft_lone").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("_weft_row"))
+    return one.select("_weft_row.*")
