@@ -89,6 +89,7 @@ def jdk_major(version: Column) -> Column:
     return F.when(major.isin("25", "21", "17", "11"), major).otherwise("UNKNOWN")
 
 
+# The patterns in replacement_hint(), by which a note names what replaces a symbol.
 def replacement_hint(annotations: Column, javadoc: Column) -> Column:
     """From the annotations in order, then from the javadoc."""
     def first(text, pattern):

@@ -50,21 +50,21 @@ def mine(edges: DataFrame, symbols: DataFrame, base_package: str | None = None)
             out.append(_record(title, rule, source, target, analyse.couplings(edges, a, b).count(), {"from": n, "to": m}))
 
     lead = rf"{base}\..*" if base else ".*"
-    pair("Encapsulate Persistence Access within Service Layer", "no-presentation-to-persistence", layer(WEB, WEB_NOTES), layer(STORE, STORE_NOTES), lead + WEB_RULE, lead + STORE_RULE)
+    pair("Web code reaches storage through services only", "no-presentation-to-persistence", layer(WEB, WEB_NOTES), layer(STORE, STORE_NOTES), lead + WEB_RULE, lead + STORE_RULE)
     lead = rf"{base}\." if base else r".*\."
-    pair("Domain Model Independence from Infrastructure and External Delivery", "domain-must-not-depend-on-infrastructure", layer(DOMAIN), layer(INFRA), lead + DOMAIN_RULE, lead + INFRA_RULE)
+    pair("The domain knows nothing of its adapters", "domain-must-not-depend-on-infrastructure", layer(DOMAIN), layer(INFRA), lead + DOMAIN_RULE, lead + INFRA_RULE)
 
     pairs = traverse.package_pairs(edges)
     packages = pairs.select(F.explode(F.array("src", "dst")).alias("p")).distinct().count()
     if packages > 1:
         cycles = traverse.strongly_connected(pairs).select(F.col("component")).distinct().count()
-        out.append(_record("Strict Prohibition of Circular Package Dependencies", "prohibit-package-cycles", ".*", ".*", cycles, {"packages": packages}))
+        out.append(_record("Packages form no rings", "prohibit-package-cycles", ".*", ".*", cycles, {"packages": packages}))
     inner = types.where(F.col("fqn").contains(INNER[0]) | F.col("fqn").contains(INNER[1])).count()
     if inner:
-        out.append(_record("Encapsulation of Internal Subsystem Implementations", "no-cross-package-internal-access", ".*", lead + r".*\.(internal|impl)\..*", 0, {"types": inner}, accepted=False))
+        out.append(_record("Internal packages stay internal", "no-cross-package-internal-access", ".*", lead + r".*\.(internal|impl)\..*", 0, {"types": inner}, accepted=False))
     for r in analyse.one_way_packages(edges).orderBy(F.desc("weight"), "src", "dst").limit(2).collect():
         a, b = (x.rsplit(".", 1)[-1] for x in (r["src"], r["dst"]))
-        out.append(_record(f"Unidirectional Dependency Flow from {a} to {b}", f"unidirectional-{a}-to-{b}", re.sub(r"\.", r"\\.", r["dst"]) + r"(\..*)?", re.sub(r"\.", r"\\.", r["src"]) + r"(\..*)?", 0, {"edges": r["weight"]}))
+        out.append(_record(f"{a} may use {b}, not the other way round", f"unidirectional-{a}-to-{b}", re.sub(r"\.", r"\\.", r["dst"]) + r"(\..*)?", re.sub(r"\.", r"\\.", r["src"]) + r"(\..*)?", 0, {"edges": r["weight"]}))
     return [{"id": f"ADR-{i:04d}", **r} for i, r in enumerate(out, 1)]
 
 

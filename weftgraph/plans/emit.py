@@ -83,48 +83,40 @@ def payloads(alerts: DataFrame, product: str = "Architecture check") -> DataFram
     def source(x):
         return F.concat(x["source_fqn"], F.when(x["line"] > 0, F.concat(F.lit(":"), x["line"].cast("string"))).otherwise(""))
 
-    def rows(make, sep, more=None):
-        tail = F.when(n > SHOWN, text(f"{sep}...and ", n - SHOWN, more)).otherwise("") if more else F.lit("")
-        return F.concat(F.array_join(F.transform(first, make), sep), tail)
-
-    def marked(x):
-        return text("• `[", x["rule"], "]` `", source(x), "` → `", x["target_fqn"], "` [", x["edge_kind"], "]")
-
-    def pairs(*items, name="name", value="value", **extra):
-        return F.array(*[F.struct(F.lit(k).alias(name), val.alias(value), *[F.lit(e).alias(w) for w, e in extra.items()]) for k, val in items])
-
-    def md(value):
-        return F.struct(F.lit("mrkdwn").alias("type"), value.alias("text"))
-
-    where = text("`", F.coalesce("branch", F.lit("default")), " @ ", commit, "`")
-    slack_rows = rows(lambda x: F.concat(marked(x), F.lit(": "), F.coalesce(x["message"], F.lit("Illegal dependency"))), "\n", " more violation(s)")
-    block = "type string, text struct<type string, text string, emoji boolean>, fields array<struct<type string, text string>>, elements array<struct<type string, text string>>"
-
-    def part(kind, body=None, fields=None, elements=None, plain=False):
-        body_col = F.lit(None) if body is None else F.struct(F.lit("plain_text" if plain else "mrkdwn").alias("type"), body.alias("text"), F.lit(True if plain else None).cast("boolean").alias("emoji"))
-        return F.struct(F.lit(kind).alias("type"), body_col.alias("text"), (F.lit(None) if fields is None else fields).alias("fields"), (F.lit(None) if elements is None else elements).alias("elements")).cast(f"struct<{block}>")
-
-    head = F.when(bad, text(f"🚨 *{product}: ", n, " Violation(s) Detected*")).otherwise(F.lit(f"✅ *{product}: Architecture Boundaries Clean*"))
-    slack = F.struct(head.alias("text"), F.array(
-        part("header", F.lit(f"🛡️ {product}"), plain=True),
-        part("section", fields=F.array(md(text("*Repository:*\n`", repo, "`")), md(text("*Severity:*\n*", severity, "*")), md(text("*Branch/Commit:*\n", where)), md(text("*Total Violations:*\n`", n, "`")))),
-        part("section", F.when(bad, text("*Violations Breakdown:*\n", slack_rows)).otherwise(F.lit("_No architectural boundary violations detected._"))),
-        part("context", elements=F.array(md(text("Evaluated at ", when))))).alias("blocks"))
-    title = F.when(bad, text(f"🚨 {product}: ", n, " Architectural Violation(s)")).otherwise(F.lit(f"✅ {product}: Clean Architectural Check"))
-    html = rows(lambda x: text("• <b>[", x["rule"], "]</b> <code>", source(x), "</code> → <code>", x["target_fqn"], "</code> [", x["edge_kind"], "]"), "<br>")
-    teams = F.struct(
-        F.lit("MessageCard").alias("@type"), F.lit("https://schema.org/extensions").alias("@context"), title.alias("summary"), F.when(bad, "d9534f").otherwise("5cb85c").alias("themeColor"), title.alias("title"),
-        F.array(F.struct(
-            text("Repository: ", repo).alias("activityTitle"),
-            text("Commit: ", commit, " (", F.coalesce("branch", F.lit("main")), ") | Author: ", F.coalesce("author", F.lit("Unknown"))).alias("activitySubtitle"),
-            pairs(("Severity", severity), ("Violations Count", n.cast("string")), ("Timestamp", when)).alias("facts"),
-            F.when(bad, text("<b>Offending Dependencies:</b><br>", html)).otherwise(F.lit("No architectural violations detected.")).alias("text"))).alias("sections"))
-    discord = F.struct(F.array(F.struct(
-        F.lit(f"🛡️ {product}").alias("title"), F.when(bad, 15158332).otherwise(3066993).alias("color"),
-        F.when(bad, text("**", n, " architectural rule violation(s)** detected in repository `", repo, "`.")).otherwise(text("All architecture boundaries passed successfully in `", repo, "`.")).alias("description"),
-        F.concat(pairs(("Repository", text("`", repo, "`")), ("Severity", text("**", severity, "**")), ("Branch/Commit", where), inline=True),
-                 pairs(("Violations", F.when(bad, rows(marked, "\n", " more")).otherwise(F.lit("None"))), inline=False)).alias("fields"),
-        F.struct(text(f"{product} • ", when).alias("text")).alias("footer"))).alias("embeds"))
+    def listing(make, sep):
+        """The first violations, one a line, and how many there are beyond them."""
+        rest = F.when(n > SHOWN, text(sep, n - SHOWN, " not listed")).otherwise("")
+        return F.concat(F.array_join(F.transform(first, make), sep), rest)
+
+    def plain(x):
+        why = F.when(x["message"].isNull(), "").otherwise(F.concat(F.lit(" ("), x["message"], F.lit(")")))
+        return text(x["edge_kind"], " ", source(x), " -> ", x["target_fqn"], " breaks ", x["rule"], why)
+
+    def field(key, value, name="name", said="value", **extra):
+        more = [F.lit(v).alias(k) for k, v in extra.items()]
+        return F.struct(F.lit(key).alias(name), value.alias(said), *more)
+
+    branch, by = F.coalesce("branch", F.lit("default branch")), F.coalesce("author", F.lit("unknown author"))
+    headline = F.when(bad, text(product, ": ", n, " broken rule(s) in ", repo)).otherwise(text(product, ": no broken rule in ", repo))
+    whence = text(branch, ", ", commit, ", ", by, ", ", when)
+    detail = F.when(bad, listing(plain, "\n")).otherwise("Nothing to list.")
+
+    def block(kind, said=None, style="mrkdwn", elements=None):
+        said = F.lit(None) if said is None else F.struct(F.lit(style).alias("type"), said.alias("text"))
+        elements = F.lit(None) if elements is None else elements
+        return F.struct(F.lit(kind).alias("type"), said.alias("text"), elements.alias("elements")).cast(
+            "struct<type string, text struct<type string, text string>, elements array<struct<type string, text string>>>")
+
+    small = F.array(F.struct(F.lit("plain_text").alias("type"), text("severity ", severity, ", ", whence).alias("text")))
+    blocks = F.array(block("section", headline, "plain_text"), block("context", elements=small), block("divider"), block("section", text("```", detail, "```")))
+    slack = F.struct(headline.alias("text"), blocks.alias("blocks"))
+    facts = F.array(field("rules broken", n.cast("string")), field("severity", severity), field("seen at", when))
+    section = F.struct(headline.alias("activityTitle"), whence.alias("activitySubtitle"), F.regexp_replace(detail, "\n", "  \n").alias("text"), facts.alias("facts"))
+    teams = F.struct(F.lit("MessageCard").alias("@type"), F.lit("https://schema.org/extensions").alias("@context"), headline.alias("summary"),
+                     F.when(bad, "b03a2e").otherwise("1e8449").alias("themeColor"), F.array(section).alias("sections"))
+    fields = F.array(field("severity", severity, inline=True), field("rules broken", n.cast("string"), inline=True), field("listing", detail, inline=False))
+    embed = F.struct(headline.alias("title"), whence.alias("description"), F.when(bad, 0xB03A2E).otherwise(0x1E8449).alias("color"), fields.alias("fields"))
+    discord = F.struct(F.array(embed).alias("embeds"))
     generic = F.struct(repo.alias("repoName"), F.col("commit_sha").alias("commitSha"), "branch", "author", F.transform(v, lambda x: F.struct(
         x["rule"].alias("rule"), x["source_fqn"].alias("sourceFqn"), x["target_fqn"].alias("targetFqn"), x["edge_kind"].alias("edgeKind"), x["line"].alias("line"), x["message"].alias("message"))).alias("violations"), F.unix_millis("at").alias("timestamp"))
     kind = provider(F.col("url"))
