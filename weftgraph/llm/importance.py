@@ -127,8 +127,26 @@ def kth_largest(rows: DataFrame, k: int, bins: int = 4096, small: int = 10_000):
             k -= counts[b]["n"]
         lo, hi, n = counts[b]["lo"], counts[b]["hi"], counts[b]["n"]
         inside = rows.where(F.col("gumbel_key").between(lo, hi))
-    last = inside.orderBy(*order).limit(k).orderBy(F.col("gumbel_key").asc(), F.col("doc_id").desc_nulls_last()).select("gumbel_key", "doc_id").first()
-    return last["gumbel_key"], last["doc_id"]
+    # here are at most small rows, or rows of one key: of these the ids are searched in the same way
+    if lo < hi:
+        for r in inside.orderBy(*order).limit(small).collect():
+            k -= 1
+            if not k:
+                return r["gumbel_key"], r["doc_id"]
+    nulls, first, last, n = inside.agg(F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    if k <= nulls:
+        return lo, None
+    k -= nulls
+    while first < last:
+        width = (last - first) // bins + 1
+        at = F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(first).cast("decimal(38,0)")) / width).cast("int")
+        counts = {r["b"]: r for r in inside.where(F.col("doc_id").between(first, last)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()}
+        for b in sorted(counts):
+            if k <= counts[b]["n"]:
+                break
+            k -= counts[b]["n"]
+        first, last = counts[b]["lo"], counts[b]["hi"]
+    return lo, first
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = 0.8, buckets: int = 1 << 16, target_docs: int = 20_000) -> DataFrame:
