@@ -1,11 +1,11 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
-A text's words (lower-cased, punctuation stripped) are anchors if they are common words, else content. Each anchor
-yields one signature: itself with the next ``chain`` content words, ``distance`` apart. The fingerprint is the sorted set
-of 32-bit signature hashes, written as hex, so equal texts have equal fingerprints and the likeness of two
-fingerprints is their Jaccard coefficient. Where under one word in sixteen is common (lists, codes, other languages), one
-in eight words, by hash, is an anchor too. With under four chains the single words are signatures as well; without words
-the fingerprint is empty. Two empty ones are alike (1), an empty and another are not (0).
+A text's words (lower-cased, punctuation stripped) are common words or content. Anchors are the text's start, every common word and
+every word with a hash divisible by ``EVERY``, so lists, codes and other languages have anchors too. Each anchor yields one
+signature: itself with the next ``chain`` content words, ``distance`` apart; words past the end count as none. The rule is the
+same for every text. The fingerprint is the sorted set of 32-bit signature hashes, written as hex, so equal texts have equal
+fingerprints and the likeness of two fingerprints is their Jaccard coefficient. Without words it is empty. Two empty ones
+are alike (1), an empty and another are not (0).
 
 near_documents() compares each document's fingerprint to that of its edited text and of the next document. Documents in
 descending doc_id order (nulls last, ties by text hash) are dealt to key ranges with known bounds; each range also gets
@@ -33,6 +33,10 @@ al como con del el las lo los no para por se su una y
 """.split())
 
 
+#: Of the words by hash, one in so many is an anchor.
+EVERY = 8
+
+
 class Fingerprinter:
     def __init__(self, chain: int = 2, distance: int = 2, max_cached: int = 500_000):
         self.chain, self.distance, self.max_cached, self.cache = chain, distance, max_cached, {}
@@ -58,24 +62,13 @@ class Fingerprinter:
         if not len(h):
             return np.zeros(0, dtype=np.uint32)
         common = (h & np.uint64(1)).astype(bool)
-        anchor = common
-        if common.sum() * 16 < len(h):
-            anchor = common | ((h >> np.uint64(7)) % np.uint64(8) == 0)
-        out = self._chains(h, np.flatnonzero(anchor), np.flatnonzero(~common))
-        if len(out) < 4:
-            out = np.concatenate((out, self._mix(h[:, None])))
-        return np.unique(out)
-
-    def _chains(self, h, anchors, content):
-        import numpy as np
-
-        at = np.searchsorted(content, anchors, side="right")
-        reach = (self.chain - 1) * self.distance
-        fits = at + reach < len(content)
-        anchors, at = anchors[fits], at[fits]
-        if not len(at):
-            return np.zeros(0, dtype=np.uint32)
-        return self._mix(np.stack([h[anchors], *[h[content[at + k * self.distance]] for k in range(self.chain)]], axis=1))
+        content = h[~common]
+        at = np.flatnonzero(common | ((h >> np.uint64(7)) % np.uint64(EVERY) == 0))
+        # the first content word after each anchor; the start has the first of all
+        first = np.concatenate(([0], np.cumsum(~common)[at]))
+        padded = np.concatenate((content, np.zeros((self.chain - 1) * self.distance + 1, np.uint64)))
+        rows = [np.concatenate((np.zeros(1, np.uint64), h[at])), *[padded[first + k * self.distance] for k in range(self.chain)]]
+        return np.unique(self._mix(np.stack(rows, axis=1)))
 
     @staticmethod
     def _mix(rows):
