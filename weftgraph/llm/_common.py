@@ -17,9 +17,11 @@ WHITE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset, one of this session's own."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset and all runs on one machine, one of this session's own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         conf = f"file://{tempfile.mkdtemp(prefix='weft-', dir='/tmp/checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", conf)
@@ -54,7 +56,9 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") ->
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is not None:
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    now = spark.conf.get(key, None)
+    if now is not None and not 0 < bytes_of(now) <= bytes_of(size):
         spark.conf.set(key, size)
 
 
@@ -72,6 +76,20 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*out)
 
 
+#: Whole rows travel in one column of this name, so that no column of theirs clashes with an operator's own.
+ROW = "_weft_row"
+
+
+def with_row(docs: DataFrame, **columns) -> DataFrame:
+    """docs as one struct column ROW beside further columns of the operator's."""
+    return docs.select(F.struct("*").alias(ROW), *[c.alias(n) for n, c in columns.items()])
+
+
+def rows_of(marked: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of with_row() as they were."""
+    return marked.select(*[F.col(ROW).getField(n).alias(n) for n in names])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._common import WHITE_CHARS, bounded_batches, materialize, narrow, partitions
+from weftgraph.llm._common import ROW, WHITE_CHARS, bounded_batches, materialize, narrow, partitions, with_row
 
 KEYED = "h1 long, h2 long, d1 long, d2 long, pos int"
 
@@ -28,11 +28,10 @@ def line_keys(lines: list[bytes]) -> list[bytes]:
     return [x.strip(WHITE_CHARS.encode()).lower() for x in lines]
 
 
-def _identity(docs: DataFrame) -> DataFrame:
-    """d1, d2: a row's doc_id (null: the text's hash) and its text's hash. Equal rows have equal values."""
-    bounded_batches(docs.sparkSession)
+def _identity() -> tuple:
+    """A row's doc_id (null: the text's hash) and its text's hash. Equal rows have equal values."""
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").isNull())
-    return docs.withColumns({"_d1": F.coalesce(F.col("doc_id").cast("long"), th), "_d2": th})
+    return F.coalesce(F.col("doc_id").cast("long"), th), th
 
 
 def keyed_lines(docs: DataFrame, min_key_chars: int = 1) -> DataFrame:
@@ -55,7 +54,8 @@ def keyed_lines(docs: DataFrame, min_key_chars: int = 1) -> DataFrame:
             yield pa.record_batch([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32())], names=["h1", "h2", "d1", "d2", "pos"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return _identity(docs).select(text, "_d1", "_d2").mapInArrow(run, KEYED)
+    bounded_batches(docs.sparkSession)
+    return docs.select(text, *_identity()).mapInArrow(run, KEYED)
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_key_chars: int = 1) -> DataFrame:
@@ -176,9 +176,10 @@ def apply_bitmap(text: str, bitmap: bytes | None, n_bits: int | None) -> tuple[i
 
 
 def with_bitmaps(docs: DataFrame, **options) -> DataFrame:
-    """docs with the columns _bitmap and _n_bits (null where nothing goes)."""
-    maps = keep_bitmaps(docs, **options).select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("bitmap").alias("_bitmap"), F.col("n_bits").alias("_n_bits"))
-    return _identity(docs).join(maps, ["_d1", "_d2"], "left").drop("_d1", "_d2")
+    """The rows of docs (ROW) with the columns bitmap and n_bits (null where nothing goes)."""
+    maps = keep_bitmaps(docs, **options)
+    d1, d2 = _identity()
+    return with_row(docs, d1=d1, d2=d2).join(maps, ["d1", "d2"], "left").select(ROW, "bitmap", "n_bits")
 
 
 def line_digest(docs: DataFrame, **options) -> DataFrame:
@@ -192,7 +193,8 @@ def line_digest(docs: DataFrame, **options) -> DataFrame:
             got = [apply_bitmap(*x) for x in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([hashlib.sha256(x[2].encode("utf-8", "surrogatepass")).hexdigest() for x in got], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return with_bitmaps(narrow(docs, "text"), **options).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    marked = with_bitmaps(narrow(docs, "text"), **options).select(f"{ROW}.doc_id", f"{ROW}.text", "bitmap", "n_bits")
+    return marked.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
@@ -203,10 +205,11 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            text = [None if t is None else apply_bitmap(t, m, n)[2] for t, m, n in zip(*(b.column(c).to_pylist() for c in ("text", "_bitmap", "_n_bits")))]
-            columns = {c: b.column(c) for c in names} | {"text": pa.array(text, pa.string())}
+            columns = dict(zip(names, b.column(0).flatten()))
+            text = [None if t is None else apply_bitmap(t, m, n)[2] for t, m, n in zip(columns["text"].to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
+            columns["text"] = pa.array(text, pa.string())
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(b.schema.field("n_chars").type)
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(columns["n_chars"].type)
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return marked.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm._common import WHITE_CHARS, materialize
+from weftgraph.llm._common import ROW, WHITE_CHARS, materialize, rows_of, with_row
 
 #: Hex digits of the key that make a range: 4096 ranges a source.
 RANGE_DIGITS = 3
@@ -79,8 +79,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words carry none and are not taken."""
     parts = mix(docs, **options).where("taken > 0").select("doc_id", "_th", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    parts = parts.groupBy("doc_id", "_th").agg(F.max("_copies").alias("_copies")).withColumnsRenamed({"doc_id": "_id"})
+    parts = parts.groupBy(F.col("doc_id").alias("id"), F.col("_th").alias("th")).agg(F.max("_copies").alias("copies"))
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = docs.withColumns({"_own_th": th})
-    both = own.join(parts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    own = with_row(docs, own_id=F.col("doc_id").cast("long"), own_th=th)
+    both = own.join(parts, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")))
+    return rows_of(both.select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)

@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm._common import WHITE, WHITE_CHARS, materialize
+from weftgraph.llm._common import WHITE, WHITE_CHARS, materialize, rows_of, with_row
 
 P = 5
 X = [f"x{i}" for i in range(P)]
@@ -251,7 +251,8 @@ def judge(docs: DataFrame, min_words: int = 50, tail: float = 1e-4, keys: tuple[
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, columns as they were."""
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = docs.withColumn("_weft_th", th)
-    good = judge(marked, keys=("_weft_th",), **options).where("kept").select(F.col("doc_id").alias("_weft_id"), F.col("_weft_th").alias("_weft_gth")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_weft_id")) & (F.col("_weft_th") == F.col("_weft_gth"))
-    return marked.join(good, same, "left_semi").select(*[F.col(c) for c in docs.columns])
+    keyed = docs.select("doc_id", "text", "lang", "source", th.alias("_weft_th"))
+    good = judge(keyed, keys=("_weft_th",), **options).where("kept").select(F.col("doc_id").alias("good_id"), F.col("_weft_th").alias("good_th")).distinct()
+    marked = with_row(docs, own_id=F.col("doc_id").cast("long"), own_th=th)
+    same = F.col("own_id").eqNullSafe(F.col("good_id")) & (F.col("own_th") == F.col("good_th"))
+    return rows_of(marked.join(good, same, "left_semi"), docs.columns)

@@ -29,7 +29,7 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._common import materialize, narrow, release
+from weftgraph.llm._common import ROW, materialize, narrow, release, rows_of, with_row
 from weftgraph.llm.components import connected_components
 
 SUB_BITS = 11
@@ -338,11 +338,10 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5, max_distance:
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """docs with the row of each class that has its component_id as doc_id; classes as of near_duplicates()."""
-    stay = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("_weft_id"), F.col("text_hash").alias("_weft_hash")).distinct()
+    stay = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = docs.withColumns({"_weft_own": F.col("doc_id").cast("long"), "_weft_th": th, "_weft_lone": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
-    met = marked.join(stay, F.col("_weft_own").eqNullSafe(F.col("_weft_id")) & (F.col("_weft_th") == F.col("_weft_hash")), "left_semi")
     # of rows that repeat a doc_id the one with the least hash of its columns (maps have none) stays
-    order = F.xxhash64(*[F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-    one = met.groupBy("_weft_own", "_weft_lone").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("_weft_row"))
-    return one.select("_weft_row.*")
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    marked = with_row(docs, own_id=F.col("doc_id").cast("long"), own_th=th, lone=F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()), place=order)
+    met = marked.join(stay, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("hash")), "left_semi")
+    return rows_of(met.groupBy("own_id", "lone").agg(F.min_by(ROW, "place").alias(ROW)), docs.columns)
