@@ -18,7 +18,7 @@ def member(fqn: Column) -> Column:
 def package(fqn: Column) -> Column:
     """The owner up to its last dot; null without a dot."""
     own = owner(fqn)
-    return F.when(own.contains("."), F.regexp_replace(own, r"\.[^.]*$", ""))
+    return F.when(own.contains("."), F.left(own, F.length(own) - F.length(F.substring_index(own, ".", -1)) - 1))
 
 
 def simple_name(fqn: Column) -> Column:

@@ -105,7 +105,7 @@ def rule_violations(edges: DataFrame, symbols: DataFrame, rules: list[dict], che
     hits = F.array_compact(F.array(*[F.when(F.col("kind").isin(*(r.get("kinds") or ("CALLS", "USES"))) & fits(r["source"], "s_notes", "source") & fits(r["target"], "t_notes", "target"), F.lit(r["name"])) for r in rules]))
     found = met.select(F.explode(hits).alias("rule"), "source", "target", "kind", "line").groupBy("rule", "source", "target").agg(F.min("line").alias("line"))
     if check_cycles or any("cycle" in r["name"].lower() for r in rules):
-        cycles = traverse.simple_cycles(traverse.package_pairs(edges))
+        cycles = traverse.package_cycles(edges)
         found = found.unionByName(cycles.select(F.lit("no-package-cycles").alias("rule"), F.col("path")[0].alias("source"), F.col("path")[1].alias("target"), F.lit(0).alias("line")))
     return found
 

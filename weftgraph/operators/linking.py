@@ -111,7 +111,9 @@ def _tests(facts: DataFrame, hit: DataFrame, types: DataFrame) -> DataFrame:
     mocked = fields.where(F.arrays_overlap("annotations", F.array(*[F.lit(m) for m in MOCKS]))).select("owner", "simple").distinct()
     made = hit.where("is_test and language = 'java' and kind in ('IMPORTS', 'CALLS') and type_kind is not null and not test_type").withColumn("simple", simple_name(owner(F.col("full"))))
     sure = made.join(mocked, ["owner", "simple"], "left_anti").withColumn("line", F.lit(0)).withColumn("caller", F.lit(""))
-    sure = sure.withColumn("goal", owner(F.col("full"))).dropDuplicates(["owner", "goal"])
+    sure = sure.withColumn("goal", owner(F.col("full")))
+    sure = sure.groupBy("owner", "goal").agg(F.min(F.struct("module", "path")).alias("f"), F.min("line").alias("line"), F.min("caller").alias("caller"), F.min("confidence").alias("confidence"))
+    sure = sure.select("owner", "goal", "f.module", "f.path", "line", "caller", "confidence")
     methods = facts.where("what = 'method' and is_test and language = 'java' and not coalesce(synthetic, false)").withColumn("simple", F.explode(F.regexp_extract_all(F.concat_ws(" ", "declared", F.regexp_extract("member", r"\((.*)\)$", 1)), F.lit(r"(\w+)"), 1)))
     said = fields.select("owner", "path", "module", "simple").unionByName(methods.select("owner", "path", "module", "simple")).distinct().where(~F.col("simple").isin(NOT_TESTED))
     maybe = said.join(mocked, ["owner", "simple"], "left_anti").join(_unique(types).where("not test_type"), "simple").join(sure.select("owner").distinct(), "owner", "left_anti")
@@ -125,4 +127,5 @@ def unresolved(facts: DataFrame, platform: tuple[str, ...] = PLATFORM) -> DataFr
         refs = refs.where(~F.coalesce(F.col("full"), F.lit("")).startswith(p))
     lost = refs.select("module", F.coalesce("full", "name").alias("symbol"), F.col("path").alias("file_path"), "line", F.lit("not found").alias("reason"))
     broken = facts.where("what = 'unresolved'").select("module", F.col("name").alias("symbol"), F.col("path").alias("file_path"), "line", F.col("declared").alias("reason"))
-    return lost.unionByName(broken).dropDuplicates(["symbol", "file_path", "line"])
+    every = lost.unionByName(broken).groupBy("symbol", "file_path", "line").agg(F.min(F.struct("module", "reason")).alias("f"))
+    return every.select("f.module", "symbol", "file_path", "line", "f.reason")

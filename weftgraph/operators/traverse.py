@@ -1,8 +1,9 @@
 """Traversals of an edge table as iterated joins.
 
-Nodes are owner types (what stands before #). A step joins the frontier with the adjacency on one key and drops what
-was seen by an anti-join; each depth is written below one folder, which is also the set of what was seen. Whether the
-frontier is broadcast is left to adaptive execution, which knows its size.
+Nodes are owner types (what stands before #). A step joins the frontier with the adjacency, which is persisted by its key, and drops
+what was seen by an anti-join; each depth is written below one folder, which is also the set of what was seen. So lineage stays
+short and a lost executor repeats one step at most. Whether a frontier is broadcast is left to adaptive execution, which
+knows its size.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.ids import owner, package
-from weftgraph.plans.scratch import new_path, stored
+from weftgraph.plans.scratch import counted, new_path, stored
 
 CALLS = ("CALLS",)
 #: Kinds that make a type depend on another.
@@ -19,35 +20,40 @@ DEPENDS = ("CALLS", "USES", "EXTENDS", "IMPLEMENTS")
 CONFIDENCE_RANK = {"POSSIBLE": 0, "CONFIRMED": 1}
 
 
+def of_kinds(edges: DataFrame, kinds) -> DataFrame:
+    """Edges of these kinds; all of them for None."""
+    return edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
+
+
 def adjacency(edges: DataFrame, kinds, incoming: bool) -> DataFrame:
     """Distinct (at, next) owners: from a node to its sources (incoming) or targets."""
     s, t = owner(F.col("source_fqn")), owner(F.col("target_fqn"))
     at, then = (t, s) if incoming else (s, t)
-    return edges.where(F.col("kind").isin(*kinds)).select(at.alias("at"), then.alias("next")).distinct()
+    return of_kinds(edges, kinds).select(at.alias("at"), then.alias("next")).where("at <> next").distinct()
 
 
-def reach(edges: DataFrame, roots: DataFrame, kinds=CALLS, incoming: bool = True, max_depth: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, kinds=CALLS, incoming: bool = True, max_depth: int | None = None,
+          adjacent: DataFrame | None = None) -> DataFrame:
     """(root, node, depth) of every node that each root reaches, itself excluded; depth is the least number of hops.
 
-    roots: one column, root. All roots expand together. max_depth under 1: no rows."""
+    roots: one column, root. All roots expand together. kinds None: edges of every kind. max_depth under 1: no rows.
+    adjacent: an adjacency() that is kept already, so that several traversals share it."""
     spark = edges.sparkSession
     if max_depth is not None and max_depth < 1:
         return spark.createDataFrame([], "root string, node string, depth int")
-    adj = stored(adjacency(edges, kinds, incoming), "adjacency")
-    path, depth = new_path(spark, "reach"), 0
-    start = stored(roots.select(owner(F.col("root")).alias("root")).distinct(), "roots")
-    start.select("root", F.col("root").alias("node")).write.parquet(f"{path}/depth=0")
-    schema = "root string, node string, depth int"
-    frontier = spark.read.schema("root string, node string").parquet(f"{path}/depth=0")
-    while max_depth is None or depth < max_depth:
-        seen = spark.read.schema(schema).parquet(path).select("root", "node")
+    adj = adjacent if adjacent is not None else adjacency(edges, kinds, incoming).repartition("at").persist()
+    path, depth, pairs = new_path(spark, "reach"), 0, "root string, node string"
+    start = roots.select(owner(F.col("root")).alias("root")).distinct()
+    more = counted(start.select("root", F.col("root").alias("node")), f"{path}/depth=0")
+    while more and (max_depth is None or depth < max_depth):
+        level = spark.read.schema(pairs).parquet(f"{path}/depth={depth}")
+        met = level.join(adj, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct()
+        seen = spark.read.schema(pairs).option("recursiveFileLookup", "true").parquet(path)
         depth += 1
-        met = frontier.join(adj, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct()
-        met.join(seen, ["root", "node"], "left_anti").write.parquet(f"{path}/depth={depth}")
-        frontier = spark.read.schema("root string, node string").parquet(f"{path}/depth={depth}")
-        if frontier.isEmpty():
-            break
-    return spark.read.schema(schema).parquet(path).where("depth > 0")
+        more = counted(met.join(seen, ["root", "node"], "left_anti"), f"{path}/depth={depth}")
+    if adjacent is None:
+        adj.unpersist()
+    return spark.read.schema(f"{pairs}, depth int").parquet(path).where("depth > 0")
 
 
 def roots_of(edges: DataFrame, *fqns: str) -> DataFrame:
@@ -116,37 +122,85 @@ def module_dependencies(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 def strongly_connected(pairs: DataFrame) -> DataFrame:
     """(node, component, size) of components with two nodes or more. pairs: src, dst. component is its least node.
 
-    Trims nodes without edges in or out until none goes, then meets forward and backward closures."""
-    pairs = stored(pairs.where("src <> dst").select("src", "dst").distinct(), "scc")
+    Colouring, with a row a node: nodes without edges in or out go; the greatest name spreads along the edges, so a node's colour is
+    the greatest one that reaches it; the nodes of a colour that reach the one it is named for are a component. They
+    go, and the rest starts anew."""
+    left = stored(pairs.where("src <> dst").select("src", "dst").distinct(), "scc")
+    found = None
+    while not (left := _trimmed(left)).isEmpty():
+        colours = _colours(left)
+        one, two = colours.toDF("src", "s_colour"), colours.toDF("dst", "d_colour")
+        inside = left.join(one, "src").join(two, "dst").where("s_colour = d_colour")
+        back = inside.select(F.col("dst").alias("at"), F.col("src").alias("next")).repartition("at").persist()
+        roots = colours.select(F.col("colour").alias("root")).distinct()
+        members = reach(left, roots, None, True, adjacent=back).select("root", "node")
+        members = stored(members.unionByName(roots.withColumn("node", F.col("root"))), "scc-members")
+        back.unpersist()
+        found = members if found is None else found.unionByName(members)
+        gone = members.select("node")
+        left = left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst")
+        left = stored(left, "scc")
+    if found is None:
+        return pairs.sparkSession.createDataFrame([], "node string, component string, size long")
+    sizes = found.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("size")).where("size > 1")
+    return found.join(sizes, "root").select("node", "component", "size")
+
+
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """pairs without the nodes that lack an edge in or out, over and over until none goes."""
     count = pairs.count()
     while count:
-        both = pairs.select(F.col("src").alias("n")).intersect(pairs.select(F.col("dst").alias("n")))
-        kept = pairs.join(both.withColumnRenamed("n", "src"), "src", "left_semi").join(both.withColumnRenamed("n", "dst"), "dst", "left_semi")
-        kept = stored(kept.select("src", "dst"), "scc")
-        then = kept.count()
-        pairs, done, count = kept, then == count, then
-        if done:
+        kept = pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        kept = kept.join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        pairs = stored(kept.select("src", "dst"), "scc")
+        then = pairs.count()
+        if then == count:
             break
-    edges = pairs.select(F.col("src").alias("source_fqn"), F.col("dst").alias("target_fqn"), F.lit("CALLS").alias("kind"))
-    far = reach(edges, pairs.select(F.col("src").alias("root")).distinct(), CALLS, False)
-    # a root that comes back to itself is excluded from reach, but is in its own component
-    mutual = far.alias("a").join(far.alias("b"), (F.col("a.root") == F.col("b.node")) & (F.col("a.node") == F.col("b.root"))).select(F.col("a.root").alias("node"), F.col("a.node").alias("other"))
-    low = mutual.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component"), (F.count("*") + 1).alias("size"))
-    return low.select("node", "component", "size")
+        count = then
+    return pairs
+
 
+def _colours(pairs: DataFrame) -> DataFrame:
+    """(node, colour): the greatest node that reaches it, itself included."""
+    now = stored(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "colours")
+    while True:
+        sent = now.join(pairs, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "colour")
+        then = now.withColumn("was", F.col("colour")).unionByName(sent.withColumn("was", F.lit(None).cast("string")))
+        then = stored(then.groupBy("node").agg(F.max("colour").alias("colour"), F.max("was").alias("was")), "colours")
+        now = then.select("node", "colour")
+        if then.where("colour <> was").isEmpty():
+            return now
 
-def simple_cycles(pairs: DataFrame, max_length: int = 4, limit: int = 100) -> DataFrame:
-    """(path) of simple cycles that start at their least node, by path text; at most limit, as a report."""
+
+def simple_cycles(pairs: DataFrame, limit: int = 100) -> DataFrame:
+    """(path) of simple cycles, each from its least node, one a set of nodes: the first by length and text, at most limit, as a report.
+
+    Paths grow inside components, all by one hop a round, until none is open or the rounds so far closed limit cycles."""
     inside = strongly_connected(pairs).select("node", "component")
-    pairs = pairs.join(inside.select(F.col("node").alias("src"), "component"), "src").join(inside.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2").select("src", "dst").distinct()
+    ends = inside.toDF("src", "c1"), inside.toDF("dst", "c2")
+    pairs = pairs.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").where("c1 = c2").select("src", "dst")
     pairs = stored(pairs, "cycle-pairs")
-    paths = pairs.where("src < dst").select(F.array("src", "dst").alias("path"))
-    found = None
-    for length in range(2, max_length + 1):
-        step = paths.join(pairs, F.element_at("path", -1) == F.col("src"))
-        closed = step.where(F.col("dst") == F.col("path")[0]).select("path")
-        found = closed if found is None else found.unionByName(closed)
-        if length < max_length:
-            paths = stored(step.where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path")), "cycle-paths")
-    one = found.withColumn("nodes", F.array_sort("path")).groupBy("nodes").agg(F.min("path").alias("path"))
-    return one.select("path").orderBy("path").limit(limit)
+    paths, found = pairs.where("src < dst").select(F.array("src", "dst").alias("path")), []
+    while True:
+        step = stored(paths.join(pairs, F.element_at("path", -1) == F.col("src")).where("dst >= path[0]").select("path", "dst"), "cycle-steps")
+        closed = step.where("dst = path[0]").groupBy(F.array_sort("path").alias("nodes")).agg(F.min("path").alias("path"))
+        found.append(stored(closed.select("path"), "cycles"))
+        paths = step.where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"))
+        if sum(f.count() for f in found) >= limit or paths.isEmpty():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.orderBy(F.size("path"), "path").limit(limit)
+
+
+def package_cycles(edges: DataFrame, min_confidence: str = "POSSIBLE", limit: int = 100) -> DataFrame:
+    """(path, length, sample_edges) of package cycles over edges of every kind; a sample is the first edge of a hop by text."""
+    edges = _floor(edges, min_confidence)
+    cycles = simple_cycles(package_pairs(edges), limit).withColumn("cycle", F.array_join("path", " "))
+    hops = cycles.select("cycle", F.posexplode(F.zip_with("path", F.concat(F.slice("path", 2, 1_000_000), F.slice("path", 1, 1)), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("i", "hop"))
+    text = F.concat("source_fqn", F.lit(" -> "), "target_fqn", F.lit(" ["), "kind", F.lit("]"))
+    samples = edges.select(package(F.col("source_fqn")).alias("src"), package(F.col("target_fqn")).alias("dst"), text.alias("sample"))
+    met = hops.select("cycle", "i", "hop.src", "hop.dst").join(samples, ["src", "dst"]).groupBy("cycle", "i").agg(F.min("sample").alias("sample"))
+    per = met.groupBy("cycle").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sample"))), lambda x: x["sample"]).alias("sample_edges"))
+    return cycles.join(per, "cycle").select("path", F.size("path").alias("length"), "sample_edges")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import ids
@@ -212,24 +212,61 @@ def rules_violations(spark, d):
     return analyse.rule_violations(edges(spark, d), symbols(spark, d), RULES)
 
 
-_TRADE = "SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey WHERE l_returnflag='A' AND l_linenumber=7 AND c_nationkey<>s_nationkey AND l_quantity>={q}"
+_DEPRECATED = "SELECT qualified_name AS root FROM y WHERE note='Deprecated'"
 
 
-def _trade(spark, d, least: int) -> DataFrame:
-    t = lambda n: table(spark, d, n)
-    lines = t("lineitem").where(f"l_returnflag = 'A' and l_linenumber = 7 and l_quantity >= {least}").select("l_orderkey", "l_suppkey")
-    met = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return met.where("c_nationkey <> s_nationkey").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("dst")).distinct()
+@query(VIEWS + _closure("up", _DEPRECATED, CALL) + _closure("far", _DEPRECATED, DEP) + """,
+r AS (SELECT qualified_name AS root, visibility, kind FROM y WHERE note='Deprecated'),
+e AS (SELECT split_part(source_fqn,'#',1) AS source, split_part(target_fqn,'#',1) AS target FROM g WHERE kind='CALLS'),
+v AS (SELECT DISTINCT source FROM e JOIN y b ON b.qualified_name=target WHERE source<>target AND source IN (SELECT root FROM r) AND regexp_matches(target,'S[0-9]*7')),
+c AS (SELECT split_part(target_fqn,'#',1) AS root, CASE WHEN caller_member<>'' THEN source_fqn||'#'||caller_member ELSE source_fqn END AS caller, confidence FROM g WHERE kind='CALLS'),
+k AS (SELECT root, node FROM up UNION SELECT root, split_part(caller,'#',1) FROM c WHERE root IN (SELECT root FROM r) UNION SELECT root, root FROM r),
+n AS (SELECT root, count(*) AS classes, greatest(1, count(DISTINCT module)) AS modules FROM k LEFT JOIN (SELECT qualified_name, max(module) AS module FROM y GROUP BY 1) ON qualified_name=node GROUP BY 1),
+d AS (SELECT root, count(DISTINCT caller) AS callers, count(DISTINCT caller) FILTER (WHERE confidence<>'POSSIBLE') AS certain, count(DISTINCT caller) FILTER (WHERE confidence='POSSIBLE') AS possible, count(DISTINCT caller) FILTER (WHERE contains(caller,'#')) AS methods FROM c GROUP BY 1),
+t AS (SELECT far.root, count(DISTINCT source_fqn) AS tests FROM far JOIN g ON node=target_fqn WHERE g.kind='TESTS' GROUP BY 1),
+o2 AS (SELECT source AS root, count(*) AS calls FROM e GROUP BY 1)
+SELECT r.root AS symbol, coalesce(callers,0) AS direct_callers, coalesce(certain,0) AS certain_callers, coalesce(possible,0) AS possible_callers, coalesce(methods,0) AS affected_methods, classes AS affected_classes, modules AS affected_modules,
+ CAST(least(100, CASE WHEN visibility='PUBLIC' OR kind='INTERFACE' THEN 30 ELSE 0 END + CASE WHEN coalesce(callers,0)>=3 THEN 20 ELSE 0 END + CASE WHEN coalesce(calls,0)>=5 THEN 15 ELSE 0 END + CASE WHEN coalesce(tests,0)=0 THEN 10 ELSE 0 END + CASE WHEN r.root IN (SELECT source FROM v) THEN 10 ELSE 0 END) AS INT) AS score
+FROM r LEFT JOIN d USING (root) LEFT JOIN n USING (root) LEFT JOIN t USING (root) LEFT JOIN o2 USING (root)""")
+def impact_radius(spark, d):
+    e, y = edges(spark, d), symbols(spark, d)
+    roots = y.where("array_contains(annotations, 'Deprecated')").select(F.col("qualified_name").alias("root"))
+    violating = analyse.rule_violations(e, y, RULES[1:]).select(F.col("source").alias("fqn"))
+    got = analyse.impact(e, y, roots, violating)
+    return got.select("symbol", "direct_callers", "certain_callers", "possible_callers", "affected_methods", "affected_classes", "affected_modules", "score")
+
+
+#: Nation to nation trade over all lines: the pairs with most lines, to the hundredth and its equals.
+_TRADE = """WITH RECURSIVE r AS (SELECT 'n'||c_nationkey AS src, 'n'||s_nationkey AS dst, rank() OVER (ORDER BY count(*) DESC) AS r
+ FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey
+ WHERE c_nationkey<>s_nationkey GROUP BY c_nationkey, s_nationkey), p AS (SELECT src, dst FROM r WHERE r<=100)"""
 
 
-@query("WITH RECURSIVE p AS (SELECT 'n'||src AS src, 'n'||dst AS dst FROM (" + _TRADE.format(q=48) + ")), c(root, node) AS (SELECT src, dst FROM p UNION SELECT c.root, p.dst FROM c JOIN p ON p.src=c.node), m AS (SELECT a.root AS node, a.node AS other FROM c a JOIN c b ON a.root=b.node AND a.node=b.root WHERE a.root<>a.node) SELECT node, least(node, min(other)) AS component, count(*)+1 AS size FROM m GROUP BY node")
+def _trade(spark, d, first: int = 100) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    orders, customers, suppliers = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "supplier")
+    met = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    met = met.join(customers.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    met = met.join(suppliers.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    src, dst = (F.concat(F.lit("n"), F.col(c).cast("string")) for c in ("c_nationkey", "s_nationkey"))
+    pairs = met.where("c_nationkey <> s_nationkey").groupBy(src.alias("src"), dst.alias("dst")).agg(F.sum("n").alias("n"))
+    # at most the square of the nations in rows
+    return pairs.withColumn("r", F.rank().over(Window.orderBy(F.desc("n")))).where(F.col("r") <= first).select("src", "dst")
+
+
+@query(_TRADE + """, c(root, node) AS (SELECT src, dst FROM p UNION SELECT c.root, p.dst FROM c JOIN p ON p.src=c.node),
+m AS (SELECT a.root AS node, a.node AS other FROM c a JOIN c b ON a.root=b.node AND a.node=b.root WHERE a.root<>a.node)
+SELECT node, least(node, min(other)) AS component, count(*)+1 AS size FROM m GROUP BY node""")
 def scc(spark, d):
-    return traverse.strongly_connected(_trade(spark, d, 48))
+    return traverse.strongly_connected(_trade(spark, d))
 
 
-@query("WITH RECURSIVE p AS (SELECT 'n'||src AS src, 'n'||dst AS dst FROM (" + _TRADE.format(q=48) + ")), w(path) AS (SELECT [src, dst] FROM p WHERE src<dst UNION ALL SELECT list_append(path, dst) FROM w JOIN p ON p.src=path[-1] WHERE len(path)<4 AND dst>path[1] AND NOT list_contains(path, dst)), f AS (SELECT path FROM w JOIN p ON p.src=path[-1] AND p.dst=path[1]) SELECT array_to_string(min(path),' -> ') AS cycle FROM f GROUP BY list_sort(path) ORDER BY min(path) LIMIT 100")
+@query(_TRADE + """, w(path) AS (SELECT [src, dst] FROM p WHERE src<dst
+ UNION ALL SELECT list_append(path, dst) FROM w JOIN p ON p.src=path[-1] WHERE dst>path[1] AND NOT list_contains(path, dst)),
+f AS (SELECT path FROM w JOIN p ON p.src=path[-1] AND p.dst=path[1])
+SELECT array_to_string(min(path),' -> ') AS cycle FROM f GROUP BY list_sort(path) ORDER BY len(min(path)), min(path) LIMIT 100""")
 def rules_cycles(spark, d):
-    return traverse.simple_cycles(_trade(spark, d, 48)).select(F.array_join("path", " -> ").alias("cycle"))
+    return traverse.simple_cycles(_trade(spark, d)).select(F.array_join("path", " -> ").alias("cycle"))
 
 
 @query(VIEWS + PAIRS + "SELECT src, dst, count(*) AS weight FROM pp WHERE src<>dst AND kind<>'TESTS' AND src IN (SELECT package FROM y) AND dst IN (SELECT package FROM y) GROUP BY 1,2")
@@ -257,7 +294,13 @@ def untested_public(spark, d):
     return analyse.untested_public(edges(spark, d), symbols(spark, d))
 
 
-@query()
+@query(VIEWS + """, h AS (SELECT split_part(source_fqn,'#',1) AS at, split_part(target_fqn,'#',1) AS nxt, bool_or(kind='CALLS') AS call, bool_and(confidence='POSSIBLE') AS possible FROM g WHERE kind IN ('CALLS','USES') GROUP BY 1,2),
+e AS (SELECT DISTINCT qualified_name AS entry, qualified_name IN (SELECT at FROM h WHERE call) AS only_calls FROM y WHERE note='Controller'),
+w(entry, only_calls, path, possible_at) AS (SELECT entry, only_calls, [entry], CAST(NULL AS INT) FROM e
+ UNION ALL SELECT entry, only_calls, list_append(path, nxt), coalesce(possible_at, CASE WHEN possible THEN CAST(len(path) AS INT) END) FROM w JOIN h ON at=path[-1] AND (NOT only_calls OR call) AND NOT list_contains(path, nxt) WHERE len(path)<6),
+f AS (SELECT * FROM w WHERE len(path)=6 OR len(path)>1 AND NOT EXISTS (SELECT 1 FROM h WHERE at=path[-1] AND (NOT only_calls OR call) AND NOT list_contains(path, nxt))),
+r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY len(path) DESC, path) AS r FROM f)
+SELECT entry, array_to_string(path,' -> ') AS participants, possible_at FROM r WHERE r<=3 ORDER BY 1,2 LIMIT 15""")
 def flows(spark, d):
     return analyse.flows(edges(spark, d), symbols(spark, d))
 
@@ -328,9 +371,14 @@ def federation_links(spark, d):
     return analyse.federation_links(_endpoints(spark, d)).select("client_repo", "client_fqn", "target_repo", "target_fqn")
 
 
-@query(_ENDPOINTS + "SELECT target_fqn, target_repo, count(DISTINCT client_fqn) AS clients, count(DISTINCT client_repo) AS repos, count(DISTINCT client_fqn) AS affected_callers FROM l WHERE r=1 GROUP BY 1,2")
+@query(_ENDPOINTS + """SELECT target_fqn, target_repo, count(DISTINCT client_fqn) AS clients, count(DISTINCT client_repo) AS repos,
+ CAST(count(DISTINCT client_fqn)+sum(CAST(regexp_extract(client_fqn,'P([0-9]+)#',1) AS BIGINT)%3) AS BIGINT) AS affected_callers FROM l WHERE r=1 GROUP BY 1,2""")
 def federation_radius(spark, d):
-    return analyse.federation_radius(analyse.federation_links(_endpoints(spark, d)), edges(spark, d))
+    page = F.concat(F.lit("page.P"), F.col("page_id").cast("string"))
+    times = F.explode(F.slice(F.array(F.lit("a"), F.lit("b")), 1, (F.col("page_id") % 3).cast("int")))
+    calls = table(spark, d, "pages").select(page.alias("page"), times.alias("by")).select(F.concat("by", F.lit(".Caller")).alias("source_fqn"), F.concat("page", F.lit("#get")).alias("target_fqn"), F.lit("CALLS").alias("kind"))
+    every = edges(spark, d).select("source_fqn", "target_fqn", "kind").unionByName(calls)
+    return analyse.federation_radius(analyse.federation_links(_endpoints(spark, d)), every)
 
 
 @query(VIEWS + _closure("b", "SELECT qualified_name AS root FROM y", CALL, depth=3) + """,

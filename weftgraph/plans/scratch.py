@@ -8,13 +8,16 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of this session's own."""
+    """spark.checkpoint.dir; where it is unset and all runs on one machine, a folder of this session's own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         conf = f"file://{tempfile.mkdtemp(prefix='weft-', dir='/tmp/checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", conf)
@@ -30,3 +33,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path, schema = new_path(df.sparkSession, label), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def counted(df: DataFrame, path: str) -> int:
+    """Writes df and returns how many rows it has, counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,24 +20,37 @@ def flatten(value, prefix: str = "") -> list[tuple[str, str]]:
     return [(prefix, "" if value is None else str(value))]
 
 
+_BLANK = " \t\f"
+_ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "f": "\f"}
+
+
+def _unescaped(text: str) -> str:
+    """\\t, \\n, \\r, \\f and \\uXXXX as the characters they stand for; a backslash before anything else goes. A \\u without four
+    hexadecimal digits stays as it is written."""
+    return re.sub(r"\\(u[0-9A-Fa-f]{4}|.)|\\$", lambda m: chr(int(m[1][1:], 16)) if m[1] and len(m[1]) == 5 else m[0] if m[1] == "u" else _ESCAPES.get(m[1], m[1]) if m[1] else "", text, flags=re.S)
+
+
 def parse_properties(text: str) -> list[tuple[str, str]]:
-    """Lines of key = value or key: value; # and ! comment, a trailing backslash continues."""
-    out, held = [], ""
-    for line in text.splitlines():
-        line = held + line.lstrip()
-        held = ""
-        if not line or line[0] in "#!":
-            continue
-        if line.endswith("\\") and not line.endswith("\\\\"):
-            held = line[:-1]
-            continue
-        cut = min((i for i in (line.find(c) for c in "=:") if i >= 0), default=-1)
-        if cut < 0:
-            key, _, value = line.partition(" ")
+    """Lines of key and value, parted by =, : or blanks; # and ! open comments, an odd number of backslashes at a line's end
+    joins the next line without its leading blanks. Of equal keys the last counts."""
+    out, held = {}, None
+    for line in [*re.split(r"\r\n|[\r\n]", text), None]:
+        if line is not None:
+            line = line.lstrip(_BLANK)
+            if held is None and (not line or line[0] in "#!"):
+                continue
+            line = (held or "") + line
+            if (len(line) - len(line.rstrip("\\"))) % 2:
+                held = line[:-1]
+                continue
         else:
-            key, value = line[:cut], line[cut + 1:]
-        out.append((key.strip(), value.strip()))
-    return list(dict(out).items())
+            line = held
+        held = None
+        if line:
+            key = re.match(r"(?:\\.|[^\\=: \t\f])*", line, re.S)[0]
+            value = re.match(r"[ \t\f]*[=:]?[ \t\f]*(.*)", line[len(key):], re.S)[1]
+            out[_unescaped(key)] = _unescaped(value)
+    return list(out.items())
 
 
 def parse_file(path: str, text: str) -> list[tuple[str, str]]:

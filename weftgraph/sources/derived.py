@@ -55,3 +55,35 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (of(t("region"), "geo", "region", "R", "r_regionkey", "r_name", F.lit("Configuration")).unionByName(of(t("nation"), "geo", "nation", "N", "n_nationkey", "n_name"))
             .unionByName(of(t("supplier"), "catalog", "supplier", "S", "s_suppkey", "s_name")).unionByName(of(t("customer"), "sales", "customer", "C", "c_custkey", "c_name", segment))
             .unionByName(of(t("part"), "catalog", "part", "P", "p_partkey", "p_name", part_note)))
+
+
+def _visibility(key) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in ("PUBLIC", "PROTECTED", "PRIVATE", "PACKAGE")]), (key % 4 + 1).cast("int"))
+
+
+def _method(df, module, owner, file, key, number, prefix, arguments):
+    """Method symbols; owner and file: columns of the type that has them."""
+    name = F.concat(F.lit(prefix), number.cast("string"))
+    return df.select(
+        F.lit(module).alias("module"), F.lit("METHOD").alias("kind"), name.alias("name"),
+        F.concat(owner, F.lit("#"), name, F.lit(arguments)).alias("qualified_name"), owner.alias("parent_fqn"), file.alias("file_path"),
+        (key % 50 * 10 + number).cast("int").alias("line_start"), _visibility(key + number).alias("visibility")).distinct()
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method symbols: one a part and line number of lineitem, one a customer and last digit of an order in base seven."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    part, customer = F.col("l_partkey"), F.col("o_custkey")
+    file = lambda kind, key: F.concat(F.lit(kind), (key % 10).cast("string"), F.lit(".java"))
+    of_parts = _method(line, "catalog", _name("catalog.part.P", part), file("catalog/part", part), part, F.col("l_linenumber").cast("long"), "m", "(int)")
+    return of_parts.unionByName(_method(orders, "sales", _name("sales.customer.C", customer), file("sales/customer", customer), customer, F.col("o_orderkey") % 7, "o", "()"))
+
+
+def order_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type symbol per order, with the columns of symbols()."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.lit("sales").alias("module"), F.lit("CLASS").alias("kind"), _name("O", key).alias("name"), _name("sales.order.O", key).alias("qualified_name"),
+        F.concat(F.lit("sales/order"), (key % 10).cast("string"), F.lit(".java")).alias("file_path"),
+        (key % 50 * 10).cast("int").alias("line_start"), (key % 50 * 10 + 8).cast("int").alias("line_end"), _visibility(key).alias("visibility"),
+        F.array().cast("array<string>").alias("annotations"))

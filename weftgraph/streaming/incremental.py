@@ -25,14 +25,39 @@ def changed_modules(before: DataFrame, after: DataFrame, module_of) -> DataFrame
     return file_differences(before, after).select(module_of(F.col("path")).alias("module")).distinct()
 
 
-def watch(files: DataFrame, update, checkpoint: str, once: bool = True):
-    """A streaming query that hands each micro-batch of changed files to update(batch, id); an error in one batch is
-    reported and does not end the watch. once: handle what is there, then stop."""
+def watch(files: DataFrame, update, checkpoint: str, once: bool = True, trigger: str = "300 milliseconds", attempts: int = 3):
+    """A streaming query that hands each micro-batch of changed files to update(batch, id).
+
+    A trigger gathers what changed since the last one, so a burst of changes is one batch. An error does not end the watch and loses
+    no change: a failed batch is tried up to attempts times, and one that still fails is kept below checkpoint and handed over
+    together with the next batch. once: handle what is there, then stop."""
+    spark, kept = files.sparkSession, f"{checkpoint}/failed"
+
+    def path(number):
+        where = spark._jvm.org.apache.hadoop.fs.Path(number if isinstance(number, str) else f"{kept}/{number}")
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+    def failed() -> list[str]:
+        fs, where = path(kept)
+        return [str(x.getPath()) for x in fs.listStatus(where)] if fs.exists(where) else []
+
     def guarded(batch: DataFrame, number: int) -> None:
-        try:
-            update(batch, number)
-        except Exception as error:  # noqa: BLE001  the watch goes on
-            print(f"update {number} failed: {error}")
+        before = failed()
+        whole = batch
+        for f in before:
+            whole = whole.unionByName(spark.read.schema(batch.schema).parquet(f))
+        for attempt in range(attempts):
+            try:
+                update(whole, number)
+                break
+            except Exception as error:  # noqa: BLE001  the watch goes on
+                print(f"update {number}, attempt {attempt + 1}: {error}")
+        else:
+            batch.write.mode("overwrite").parquet(f"{kept}/{number}")
+            return
+        for f in before:
+            fs, where = path(f)
+            fs.delete(where, True)
 
     writer = files.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="300 milliseconds")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=trigger)).start()
