@@ -294,15 +294,15 @@ def untested_public(spark, d):
     return analyse.untested_public(edges(spark, d), symbols(spark, d))
 
 
-@query(VIEWS + """, h AS (SELECT split_part(source_fqn,'#',1) AS at, split_part(target_fqn,'#',1) AS nxt, bool_or(kind='CALLS') AS call, bool_and(confidence='POSSIBLE') AS possible FROM g WHERE kind IN ('CALLS','USES') GROUP BY 1,2),
-e AS (SELECT DISTINCT qualified_name AS entry, qualified_name IN (SELECT at FROM h WHERE call) AS only_calls FROM y WHERE note='Controller'),
+@query(VIEWS + """, h AS (SELECT split_part(source_fqn,'#',1) AS src, split_part(target_fqn,'#',1) AS nxt, bool_or(kind='CALLS') AS call, bool_and(confidence='POSSIBLE') AS possible FROM g WHERE kind IN ('CALLS','USES') GROUP BY 1,2),
+e AS (SELECT DISTINCT qualified_name AS entry, qualified_name IN (SELECT src FROM h WHERE call) AS only_calls FROM y WHERE note='Controller'),
 w(entry, only_calls, path, possible_at) AS (SELECT entry, only_calls, [entry], CAST(NULL AS INT) FROM e
- UNION ALL SELECT entry, only_calls, list_append(path, nxt), coalesce(possible_at, CASE WHEN possible THEN CAST(len(path) AS INT) END) FROM w JOIN h ON at=path[-1] AND (NOT only_calls OR call) AND NOT list_contains(path, nxt) WHERE len(path)<6),
-f AS (SELECT * FROM w WHERE len(path)=6 OR len(path)>1 AND NOT EXISTS (SELECT 1 FROM h WHERE at=path[-1] AND (NOT only_calls OR call) AND NOT list_contains(path, nxt))),
+ UNION ALL SELECT entry, only_calls, list_append(path, nxt), coalesce(possible_at, CASE WHEN possible THEN CAST(len(path) AS INT) END) FROM w JOIN h ON src=path[-1] AND (NOT only_calls OR call) AND NOT list_contains(path, nxt) WHERE len(path)<6),
+f AS (SELECT * FROM w WHERE len(path)=6 OR len(path)>1 AND NOT EXISTS (SELECT 1 FROM h WHERE src=path[-1] AND (NOT only_calls OR call) AND NOT list_contains(path, nxt))),
 r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY len(path) DESC, path) AS r FROM f)
-SELECT entry, array_to_string(path,' -> ') AS participants, possible_at FROM r WHERE r<=3 ORDER BY 1,2 LIMIT 15""")
+SELECT entry, array_to_string(path,' -> ') AS participants, coalesce(possible_at,0) AS possible_at FROM r WHERE r<=3 ORDER BY 1,2 LIMIT 15""")
 def flows(spark, d):
-    return analyse.flows(edges(spark, d), symbols(spark, d))
+    return analyse.flows(edges(spark, d), symbols(spark, d)).fillna(0, ["possible_at"])
 
 
 @query(VIEWS + ", h AS (SELECT split_part(target_fqn,'#',1) AS root, count(*) AS incoming FROM g WHERE kind='CALLS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)" + _closure("far", "SELECT root FROM h", DEP) + """,

@@ -117,11 +117,11 @@ def jdk_versions(spark, d):
 UNION ALL SELECT 'plain'||s_suppkey, 'joined line', '/r/m'||s_suppkey||'/src/main/resources/application-x.properties' FROM supplier WHERE s_suppkey%2=0
 UNION ALL SELECT 'café'||s_suppkey, '', '/r/m'||s_suppkey||'/src/main/resources/application-x.properties' FROM supplier WHERE s_suppkey%2=0
 UNION ALL SELECT 'app.s'||s_suppkey||'.ports[0]', s_nationkey::VARCHAR, '/r/m'||s_suppkey||'/src/main/resources/application.yml' FROM supplier WHERE s_suppkey%2=1
-UNION ALL SELECT 'app.s'||s_suppkey||'.on', 'true', '/r/m'||s_suppkey||'/src/main/resources/application.yml' FROM supplier WHERE s_suppkey%2=1""")
+UNION ALL SELECT 'app.s'||s_suppkey||'.live', 'true', '/r/m'||s_suppkey||'/src/main/resources/application.yml' FROM supplier WHERE s_suppkey%2=1""")
 def config_files(spark, d):
     k = F.col("s_suppkey")
     properties = _text("# c\n! d\na\\ b.k", k, " : v=", F.col("s_nationkey"), "\nplain", k, " joined \\\n    line\ncaf\\u00e9", k, "\n")
-    yaml = _text("app:\n  s", k, ":\n    ports: [", F.col("s_nationkey"), "]\n    on: true\n")
+    yaml = _text("app:\n  s", k, ":\n    ports: [", F.col("s_nationkey"), "]\n    live: true\n")
     name = F.when(k % 2 == 0, "application-x.properties").otherwise("application.yml")
     files = table(spark, d, "supplier").select(_text("/r/m", k, "/src/main/resources/", name).alias("path"), F.when(k % 2 == 0, properties).otherwise(yaml).cast("binary").alias("content"))
     return config.properties_of(files)

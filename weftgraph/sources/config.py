@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def flatten(value, prefix: str = "") -> list[tuple[str, str]]:
     """Nested maps to dotted keys, lists to key[i], scalars as text (null: empty)."""
     if isinstance(value, dict):
-        return [x for k, v in value.items() for x in flatten(v, f"{prefix}.{k}" if prefix else str(k))]
+        keys = ((str(k).lower() if isinstance(k, bool) else str(k), v) for k, v in value.items())
+        return [x for k, v in keys for x in flatten(v, f"{prefix}.{k}" if prefix else k)]
     if isinstance(value, list):
         return [x for i, v in enumerate(value) for x in flatten(v, f"{prefix}[{i}]")]
     if isinstance(value, bool):
