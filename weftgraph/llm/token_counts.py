@@ -2,14 +2,14 @@
 
 Texts are parted into pre-tokens by the tokenizer file's own normalizer and pre-tokenizer. A slice of documents, about
 ``slice_chars`` characters, becomes one row: its distinct pre-tokens, and how often each of its documents holds each of them (a
-sparse matrix, packed). The distinct pre-tokens of all slices meet in one table, where the tokenizer's model counts the pieces
-of each once. These counts are joined to the slices' pre-tokens, gathered by slice and multiplied with its matrix. No ids are
-made, and no text travels twice.
+sparse matrix, packed). The pre-tokens of all slices are dealt and sorted by their text, so that equal ones are neighbours; the
+tokenizer's model counts the pieces of each distinct one once and hands the number to its slices. The numbers are gathered by
+slice, joined to it and multiplied with its matrix. No ids are made, and no text travels twice.
+
+A slice names a pre-token once, however often its documents hold it, so no pre-token is a hot key: it has a row a slice at most, beside the
+slice's other ones. A slice has at least one document, so what is gathered for one is bounded by its characters or by one text.
 
 Special strings in a text are special tokens, as the library has it by default: a word that holds one is counted whole.
-A pre-token of a third of all slices is no hot key: the ``common`` most widespread ones of at most 64 characters are broadcast (a
-bound of 64 bytes times four each), so no other is in more than one in ``common`` of the joined rows. A slice has at least one document, so what is gathered for one is
-bounded by its characters or by one text.
 
 Null text: empty, no tokens. Null doc_id and repeated rows: a row each. Empty table: no rows. Other columns are ignored.
 """
@@ -44,21 +44,27 @@ class Parts:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.known = most, {}
 
-    def pre_tokens(self, word: str) -> tuple[str, ...]:
-        """Of a word without ASCII white space, as the pre-tokenizer writes them. A word with a special string is one, after a
+    def pre_tokens(self, words: list[str]) -> list[tuple[str, ...]]:
+        """Of words without ASCII white space, as the pre-tokenizer writes them. A word with a special string is one, after a
         mark that no pre-token has."""
-        got = self.known.get(word)
-        if got is None:
-            if any(s in word for s in self.special):
-                got = (" " + word,)
-            else:
-                t = self.tokenizer
-                got = tuple(p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)))
-            if len(word) <= 64:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[word] = got
-        return got
+        t, new = self.tokenizer, [w for w in words if w not in self.known]
+        made = {}
+        letters = [w for w in new if w.isascii() and w.isalpha()]
+        if letters:  # one pre-token each, if there are as many as words
+            got = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(" ".join(letters)))
+            if len(got) == len(letters):
+                made = {w: (p,) for w, (p, _) in zip(letters, got)}
+        for w in new:
+            if w not in made:
+                if any(s in w for s in self.special):
+                    made[w] = (" " + w,)
+                else:
+                    made[w] = tuple(p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(w))) if w else ()
+        out = [self.known[w] if w in self.known else made[w] for w in words]
+        if len(self.known) + len(made) > self.most:
+            self.known.clear()
+        self.known.update((w, p) for w, p in made.items() if len(w) <= 64)
+        return out
 
     def n_pieces(self, pre_token: str) -> int:
         if pre_token.startswith(" "):
@@ -75,7 +81,7 @@ class Parts:
         numbered = split.values.dictionary_encode()
         words, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
         pieces: dict[str, int] = {}
-        parts = [[pieces.setdefault(p, len(pieces)) for p in self.pre_tokens(w)] if w else [] for w in words]
+        parts = [[pieces.setdefault(p, len(pieces)) for p in own] for own in self.pre_tokens(words)]
         sizes = np.array([len(p) for p in parts], np.int64)
         flat = np.array([i for p in parts for i in p], np.int64)
         lens, starts = sizes[code], (np.cumsum(sizes) - sizes)[code] if len(words) else np.zeros(0, np.int64)
@@ -89,70 +95,90 @@ class Parts:
         return list(pieces), bounds, cells - rows * max(1, len(pieces)), times
 
 
-def packed(*arrays) -> bytes:
+def packed(bounds, cols, times) -> bytes:
+    """A matrix by rows: lengths of rows, steps between columns and times, the bytes of one significance together, compressed."""
     import numpy as np
     import pyarrow as pa
 
-    arrays = [np.asarray(a).astype("<u4") for a in arrays]
-    data = b"".join([np.array([len(a) for a in arrays], "<u4").tobytes(), *(a.tobytes() for a in arrays)])
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    sizes = np.diff(bounds)
+    steps = np.diff(cols, prepend=0)
+    first = bounds[:-1][sizes > 0]
+    steps[first] = cols[first]
+    data = np.concatenate((sizes, steps, times)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.array([len(sizes), len(cols)], "<u4").tobytes() + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, n: int = 3) -> list:
+def unpacked(data: bytes) -> list:
+    """(bounds, cols, times) of packed()."""
     import numpy as np
     import pyarrow as pa
 
-    plain = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), "<u4").astype(np.int64)
-    cuts = n + np.cumsum(plain[:n])
-    return np.split(plain[n:], cuts[:-1] - n)
+    rows, cells = np.frombuffer(data[:8], "<u4").tolist()
+    plain = np.frombuffer(pa.decompress(data[8:], 4 * (rows + 2 * cells), codec="zstd", asbytes=True), np.uint8)
+    sizes, steps, times = np.split(plain.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64), [rows, rows + cells])
+    bounds, total = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(steps)))
+    return [bounds, total[1:] - np.repeat(total[bounds[:-1]], sizes), times]
 
 
-def slices(docs: DataFrame, tokenizer: str, slice_chars: int = 4_000_000) -> DataFrame:
+def slices(docs: DataFrame, tokenizer: str, slice_chars: int = 8_000_000) -> DataFrame:
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        own, at = parts_of(tokenizer), TaskContext.get().partitionId() << 32
+        own, at, held, size = parts_of(tokenizer), TaskContext.get().partitionId() << 32, [], 0
+
+        def full():
+            nonlocal at, held, size
+            part = pa.Table.from_batches(held).combine_chunks()
+            pieces, *matrix = own.slice(part.column("text").to_pylist())
+            values = [at, part.column("doc_id").to_pylist(), pc.binary_length(part.column("text")).to_pylist(), pieces, packed(*matrix)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary()]
+            at, held, size = at + 1, [], 0
+            return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=["slice", "doc_ids", "n_bytes", "pieces", "matrix"])
+
         for b in batches:
-            size = np.cumsum(pc.utf8_length(b.column("text")).to_numpy(zero_copy_only=False)) // slice_chars
-            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows] if b.num_rows else []
-            for x, y in zip(cuts, cuts[1:]):
-                ids, text = b.column("doc_id").slice(x, y - x), b.column("text").slice(x, y - x)
-                pieces, *matrix = own.slice(text.to_pylist())
-                values = [at, ids.to_pylist(), pc.binary_length(text).to_pylist(), pieces, packed(*matrix)]
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary()]
-                yield pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=["slice", "doc_ids", "n_bytes", "pieces", "matrix"])
-                at += 1
+            start = 0
+            for i, n in enumerate(pc.utf8_length(b.column("text")).to_pylist()):
+                size += n
+                if size >= slice_chars:
+                    held.append(b.slice(start, i + 1 - start))
+                    start = i + 1
+                    yield full()
+            if start < b.num_rows:
+                held.append(b.slice(start))
+        if held:
+            yield full()
 
     return narrow(docs, "text").mapInArrow(run, SLICES)
 
 
-def count_pieces(pieces: DataFrame, tokenizer: str) -> DataFrame:
-    """pieces: piece (distinct), n_slices. Adds n, its number of tokens."""
+def count_pieces(named: DataFrame, tokenizer: str) -> DataFrame:
+    """named: piece, slice, place. slice, place and n, the piece's number of tokens; each distinct piece is counted once, as rows are sorted by it."""
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        own = parts_of(tokenizer)
+        own, last, n = parts_of(tokenizer), None, 0
         for b in batches:
-            n = [own.n_pieces(p) for p in b.column("piece").to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(n, pa.int64())], names=["piece", "n_slices", "n"])
+            numbered = b.column("piece").dictionary_encode()
+            worth = []
+            for p in numbered.dictionary.to_pylist():
+                if p != last:
+                    last, n = p, own.n_pieces(p)
+                worth.append(n)
+            yield pa.record_batch([b.column("slice"), b.column("place"), pc.take(pa.array(worth, pa.int32()), numbered.indices)], names=["slice", "place", "n"])
 
-    return pieces.select("piece", "n_slices").mapInArrow(run, "piece string, n_slices long, n long")
+    dealt = named.repartition("piece").sortWithinPartitions("piece")
+    return dealt.mapInArrow(run, "slice long, place int, n int")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, common: int = 10_000, slice_chars: int = 4_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, slice_chars: int = 8_000_000) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more tokens than limit) of each document."""
     held = materialize(slices(docs, tokenizer, slice_chars), "slices")
-    named = held.select("slice", F.posexplode("pieces").alias("at", "piece"))
-    counts = materialize(count_pieces(named.groupBy("piece").agg(F.count("*").alias("n_slices")), tokenizer), "piece-counts")
-    wide = counts.where("length(piece) <= 64").orderBy(F.desc("n_slices"), "piece").limit(common).select("piece", F.col("n").alias("wide_n"))
-    met = named.join(F.broadcast(wide), "piece", "left")
-    rest = met.where("wide_n is null").select("slice", "at", "piece").join(counts.select("piece", "n"), "piece").select("slice", "at", "n")
-    both = met.where("wide_n is not null").select("slice", "at", F.col("wide_n").alias("n")).unionByName(rest)
-    gathered = both.groupBy(F.col("slice").alias("of")).agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    whole = held.select("slice", "doc_ids", "n_bytes", "matrix").join(gathered, F.col("slice") == F.col("of"), "left").select("doc_ids", "n_bytes", "matrix", "at", "n")
+    counted = count_pieces(held.select("slice", F.posexplode("pieces").alias("place", "piece")), tokenizer)
+    gathered = counted.groupBy(F.col("slice").alias("of")).agg(F.collect_list("place").alias("place"), F.collect_list("n").alias("n"))
+    whole = held.select("slice", "doc_ids", "n_bytes", "matrix").join(gathered, F.col("slice") == F.col("of"), "left").select("doc_ids", "n_bytes", "matrix", "place", "n")
 
     def run(batches):
         import numpy as np
@@ -160,13 +186,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, common: int
 
         for b in batches:
             for i in range(b.num_rows):
-                ids, size, matrix, at, n = (c[i] for c in b.columns)
+                ids, size, matrix, place, n = (c[i] for c in b.columns)
                 bounds, cols, times = unpacked(matrix.as_py())
                 worth = np.zeros(int(cols.max(initial=-1)) + 1, np.int64)
-                if at.is_valid:
-                    worth[at.values.to_numpy()] = n.values.to_numpy()
-                total = np.concatenate(([0], np.cumsum(worth[cols] * times)))[bounds]
-                tokens = np.diff(total)
+                if place.is_valid:
+                    worth[place.values.to_numpy()] = n.values.to_numpy()
+                tokens = np.diff(np.concatenate(([0], np.cumsum(worth[cols] * times)))[bounds])
                 yield pa.record_batch([ids.values, size.values, pa.array(tokens, pa.int64()), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return whole.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
