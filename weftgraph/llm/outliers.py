@@ -14,9 +14,10 @@ chi-square quantile 1 - ``tail`` go. The scatter's diagonal has a floor (``FLOOR
 statistic, so that a group whose members agree exactly doesn't reject the next best text.
 
 Every (language, source) group is fitted, whatever its size, and so are every language and the whole table. A group's
-estimate is drawn toward its language's as if it held ``PRIOR`` rows more of that centre and scatter, and the language's in the
-same way toward the whole table's, the scatter growing by the distance of the centres. So small groups lean on their language, large
-ones stand for themselves, nothing switches at a size, and every row that passes the base rules gets a distance.
+centre and scatter are drawn toward its language's as if it held ``PRIOR`` rows more of these, and the language's in the
+same way toward the whole table's. So small groups lean on their language, large ones stand for themselves, nothing switches at a
+size, and every row that passes the base rules gets a distance. The distance of the centres doesn't widen the scatter: rows that are
+alone in their source, or a few of one kind, are as far from their language as they would be in another source of it.
 
 Estimates meet their rows by a broadcast where the counted groups are at most ``BROADCAST``. Beyond that the groups of more than
 1/BROADCAST of all rows, of which there can't be more than BROADCAST, are broadcast and the others joined by key.
@@ -219,8 +220,7 @@ def _drawn(own: DataFrame, wide: DataFrame, key: str) -> DataFrame:
     met = own.join(wide.select(F.col("gid").alias(key), F.col("m").alias("wm"), F.col("c").alias("wc")), key)
     n, k = F.col("n").cast("double"), F.lit(float(PRIOR))
     mean = F.array(*[(n * F.col("m")[i] + k * F.col("wm")[i]) / (n + k) for i in range(P)])
-    apart = [F.col("m")[i] - F.col("wm")[i] for i in range(P)]
-    cov = F.array(*[(n * F.col("c")[a] + k * F.col("wc")[a]) / (n + k) + n * k / ((n + k) * (n + k)) * apart[i] * apart[j] for a, (i, j) in enumerate(PAIRS)])
+    cov = F.array(*[(n * F.col("c")[a] + k * F.col("wc")[a]) / (n + k) for a in range(len(PAIRS))])
     return met.withColumns({"m": mean, "c": cov}).drop("wm", "wc")
 
 
