@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import ids
 from weftgraph.functions.ids import owner, package, test_like
-from weftgraph.operators import traverse
+from weftgraph.operators import counts, traverse
 from weftgraph.plans.scratch import stored
 
 # Annotation names with a meaning, weights and thresholds.
@@ -32,20 +32,19 @@ def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, violating: Da
     callers = into.groupBy("root").agg(F.countDistinct("caller").alias("direct_callers"), F.countDistinct(F.when(~possible, F.col("caller"))).alias("certain_callers"),
                                        F.countDistinct(F.when(possible, F.col("caller"))).alias("possible_callers"), F.countDistinct(F.when(F.instr("caller", "#") > 0, F.col("caller"))).alias("affected_methods"), F.bool_or("reflects").alias("called_by_reflection"))
     out = calls.select(owner(F.col("source_fqn")).alias("root"), F.col("target_fqn").contains("reflect").alias("r")).join(roots, "root", "left_semi").groupBy("root").agg(F.count("*").alias("fan_out"), F.bool_or("r").alias("reflects"))
-    up = traverse.reach(edges, roots, traverse.CALLS, True)
-    far = traverse.reach(edges, roots, traverse.DEPENDS, True)
-    n_up, n_far = up.groupBy("root").agg(F.count("*").alias("transitive_callers")), far.groupBy("root").agg(F.count("*").alias("dependents"))
-    tests = traverse.affected_tests(edges, roots, far).groupBy("root").agg(F.count("*").alias("affected_tests"))
-    types = up.select("root", "node").unionByName(into.select("root", owner(F.col("caller")).alias("node"))).unionByName(roots.select("root", F.col("root").alias("node"))).distinct()
-    module_of = symbols.where("kind not in ('METHOD', 'FIELD')").groupBy(F.col("qualified_name").alias("node")).agg(F.max("module").alias("module"))
-    radius = types.join(module_of, "node", "left").groupBy("root").agg(F.count("*").alias("affected_classes"), F.greatest(F.lit(1), F.countDistinct("module")).alias("affected_modules"))
+    types = symbols.where("kind not in ('METHOD', 'FIELD')")
+    modules = types.groupBy(F.col("qualified_name").alias("node")).agg(F.max("module").alias("leaf")).where("leaf is not null").withColumn("kind", F.lit("module"))
+    up = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.CALLS, True), roots, modules), transitive_callers="node", affected_modules="module")
+    far = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.DEPENDS, True), roots, traverse.tests_of(edges)), dependents="node", affected_tests="test")
     meta = symbols.groupBy(F.col("qualified_name").alias("root")).agg(F.min(F.struct("visibility", "kind", "annotations")).alias("m"))
     got = roots.join(meta, "root", "left")
-    for part in (callers, out, n_up, n_far, tests, radius):
+    for part in (callers, out, up, far):
         got = got.join(part, "root", "left")
     got = got.withColumn("violates", F.lit(False)) if violating is None else got.join(violating.select(F.col("fqn").alias("root"), F.lit(True).alias("violates")).distinct(), "root", "left")
-    counts = ("direct_callers", "certain_callers", "possible_callers", "affected_methods", "fan_out", "transitive_callers", "dependents", "affected_tests", "affected_classes", "affected_modules")
-    got = got.fillna(0, list(counts)).fillna(False, ["violates", "reflects", "called_by_reflection"])
+    named = ("direct_callers", "certain_callers", "possible_callers", "affected_methods", "fan_out", "transitive_callers", "dependents", "affected_tests", "affected_classes", "affected_modules")
+    # callers are reached too, so the classes are the root and what it reaches
+    got = got.fillna(0, ["transitive_callers"]).fillna(1, ["affected_modules"]).withColumn("affected_classes", F.col("transitive_callers") + 1)
+    got = got.fillna(0, list(named)).fillna(False, ["violates", "reflects", "called_by_reflection"])
     applied = {
         "public-api": F.coalesce((F.col("m.visibility") == "PUBLIC") | (F.col("m.kind") == "INTERFACE"), F.lit(False)),
         "many-callers": F.col("direct_callers") >= MANY_CALLERS, "database-interaction": overlap(F.col("m.annotations"), DB_ANNOTATIONS),
@@ -53,7 +52,7 @@ def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, violating: Da
     }
     score = F.least(F.lit(100), sum((F.when(c, WEIGHTS[n]).otherwise(0) for n, c in applied.items()), F.lit(0)))
     signals = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in applied.items()]))
-    return got.select(F.col("root").alias("symbol"), *[F.col(c).cast("long").alias(c) for c in counts], (F.col("reflects") | F.col("called_by_reflection")).alias("has_dynamic_dispatch"),
+    return got.select(F.col("root").alias("symbol"), *[F.col(c).cast("long").alias(c) for c in named], (F.col("reflects") | F.col("called_by_reflection")).alias("has_dynamic_dispatch"),
                       F.array_join(signals, ",").alias("signals"), score.cast("int").alias("score")).withColumn("level", ids.impact_level(F.col("score")))
 
 
@@ -80,8 +79,8 @@ def deprecation_radar(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     items = stored(items, "deprecated")
     roots = items.select("root").distinct()
     callers = edges.where("kind = 'CALLS'").select(owner(F.col("target_fqn")).alias("root"), "source_fqn").join(roots, "root", "left_semi").groupBy("root").agg(F.countDistinct("source_fqn").alias("direct_callers"))
-    radius = traverse.reach(edges, roots, traverse.CALLS, True, 3).groupBy("root").agg(F.count("*").alias("blast_radius"))
-    tests = traverse.affected_tests(edges, roots).groupBy("root").agg(F.count("*").alias("affected_tests"))
+    radius = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.CALLS, True), roots, max_depth=3), blast_radius="node")
+    tests = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.DEPENDS, True), roots, traverse.tests_of(edges)), affected_tests="test")
     got = items.join(callers, "root", "left").join(radius, "root", "left").join(tests, "root", "left").fillna(0, ["direct_callers", "blast_radius", "affected_tests"])
     got = got.withColumn("effort", ids.migration_effort(F.col("kind"), F.col("direct_callers"), F.col("blast_radius"), F.col("affected_tests"), F.col("replacement_hint").isNotNull()))
     return got.select("fqn", "kind", "module", "replacement_hint", "direct_callers", "blast_radius", "affected_tests", "effort", ids.effort_category(F.col("effort")).alias("category"))
@@ -230,7 +229,7 @@ def rag_documents(edges: DataFrame, symbols: DataFrame, depth: int = 3) -> DataF
     calls = edges.where("kind = 'CALLS'").select(owner(F.col("source_fqn")).alias("s"), owner(F.col("target_fqn")).alias("t")).distinct()
     five = lambda c: F.array_join(F.slice(F.array_sort(F.collect_list(c)), 1, 5), ", ")
     low = lambda key, value: calls.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(value))).where("r <= 5").groupBy(F.col(key).alias("root")).agg(five(value).alias(value + "s"))
-    radius = traverse.reach(edges, roots, traverse.CALLS, True, depth).groupBy("root").agg(F.count("*").alias("radius"))
+    radius = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.CALLS, True), roots, max_depth=depth), radius="node")
     got = symbols.withColumn("root", F.col("qualified_name")).join(low("t", "s"), "root", "left").join(low("s", "t"), "root", "left").join(radius, "root", "left")
     text = F.concat(F.col("kind"), F.lit(" "), F.col("qualified_name"),
                     F.when(F.coalesce("file_path", F.lit("")) != "", F.concat(F.lit(" located in "), "file_path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))).otherwise(""),
@@ -307,7 +306,7 @@ def endpoints(symbols: DataFrame) -> DataFrame:
 def code_lens(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     """fqn, direct_callers (CALLS edges into it) and callers (types that reach it in depth calls) of each root."""
     direct = edges.where("kind = 'CALLS'").groupBy(owner(F.col("target_fqn")).alias("root")).agg(F.count("*").alias("direct_callers"))
-    far = traverse.reach(edges, roots, max_depth=depth).where("root <> node").groupBy("root").agg(F.countDistinct("node").alias("callers"))
+    far = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.CALLS, True), roots.select(owner(F.col("root")).alias("root")), max_depth=depth), callers="node")
     return roots.select("root").distinct().join(direct, "root", "left").join(far, "root", "left").fillna(0, ["direct_callers", "callers"]).withColumnRenamed("root", "fqn")
 
 

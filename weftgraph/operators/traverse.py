@@ -72,6 +72,11 @@ def transitive_dependents(edges, fqn, max_depth=None) -> DataFrame:
     return reach(edges, roots_of(edges, fqn), DEPENDS, True, max_depth).select("node", "depth")
 
 
+def tests_of(edges: DataFrame) -> DataFrame:
+    """(node, kind, leaf): the tests that hang on types, as leaves of counts.reach_counts()."""
+    return edges.where("kind = 'TESTS'").select(F.col("target_fqn").alias("node"), F.lit("test").alias("kind"), F.col("source_fqn").alias("leaf"))
+
+
 def affected_tests(edges: DataFrame, roots: DataFrame, dependents: DataFrame | None = None) -> DataFrame:
     """(root, test): sources of TESTS edges that name the root or a dependent exactly."""
     far = reach(edges, roots, DEPENDS, True) if dependents is None else dependents
@@ -124,18 +129,19 @@ def strongly_connected(pairs: DataFrame) -> DataFrame:
 
     Colouring, with a row a node: nodes without edges in or out go; the greatest name spreads along the edges, so a node's colour is
     the greatest one that reaches it; the nodes of a colour that reach the one it is named for are a component. They
-    go, and the rest starts anew."""
+    go, and the rest starts anew. Runs of nodes with one edge in are passed in doubled steps, so a long ring costs the logarithm
+    of its length; rounds grow with the longest path over the other nodes."""
     left = stored(pairs.where("src <> dst").select("src", "dst").distinct(), "scc")
     found = None
     while not (left := _trimmed(left)).isEmpty():
-        colours = _colours(left)
+        nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colours = stored(_spread(left, nodes.withColumn("value", F.col("node"))).withColumnRenamed("value", "colour"), "colours")
         one, two = colours.toDF("src", "s_colour"), colours.toDF("dst", "d_colour")
         inside = left.join(one, "src").join(two, "dst").where("s_colour = d_colour")
-        back = inside.select(F.col("dst").alias("at"), F.col("src").alias("next")).repartition("at").persist()
-        roots = colours.select(F.col("colour").alias("root")).distinct()
-        members = reach(left, roots, None, True, adjacent=back).select("root", "node")
-        members = stored(members.unionByName(roots.withColumn("node", F.col("root"))), "scc-members")
-        back.unpersist()
+        back = stored(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-back")
+        marks = colours.select("node", F.when(F.col("node") == F.col("colour"), 1).otherwise(0).alias("value"))
+        members = _spread(back, marks).where("value = 1").join(colours, "node").select(F.col("colour").alias("root"), "node")
+        members = stored(members, "scc-members")
         found = members if found is None else found.unionByName(members)
         gone = members.select("node")
         left = left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst")
@@ -146,30 +152,75 @@ def strongly_connected(pairs: DataFrame) -> DataFrame:
     return found.join(sizes, "root").select("node", "component", "size")
 
 
+#: Rounds in which nodes without edges go one by one before runs of them go at once.
+SINGLE_ROUNDS = 6
+
+
 def _trimmed(pairs: DataFrame) -> DataFrame:
     """pairs without the nodes that lack an edge in or out, over and over until none goes."""
-    count = pairs.count()
+    count, rounds = pairs.count(), 0
     while count:
         kept = pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = kept.join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        pairs = stored(kept.select("src", "dst"), "scc")
+        pairs, rounds = stored(kept.select("src", "dst"), "scc"), rounds + 1
         then = pairs.count()
+        if then and rounds > SINGLE_ROUNDS:
+            pairs = stored(_without_tails(_without_tails(pairs).select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc")
+            then = pairs.count()
         if then == count:
             break
         count = then
     return pairs
 
 
-def _colours(pairs: DataFrame) -> DataFrame:
-    """(node, colour): the greatest node that reaches it, itself included."""
-    now = stored(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "colours")
+def _without_tails(pairs: DataFrame) -> DataFrame:
+    """pairs without the nodes whose run of single edges in begins at a node that has none."""
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("value", F.lit(0))
+    fed = pairs.select(F.col("dst").alias("head")).distinct()
+    tails = _runs(pairs, nodes).select("node", F.coalesce("head", F.when(~F.col("ring"), F.col("node"))).alias("head")).where("head is not null").join(fed, "head", "left_anti")
+    return pairs.join(tails.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst")
+
+
+def _runs(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, head, best, ring): the node that a node's run of single edges in comes from (null: the node has not one edge in, or the run is a ring or comes from
+    one) and the greatest value of the run from the node on, its head's left out; of a ring, all values. In doubled steps."""
+    into = pairs.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("src")).where("n = 1").select(F.col("dst").alias("node"), F.col("src").alias("head"))
+    now = stored(values.join(into, "node", "left").select("node", "head", F.col("value").alias("best")), "runs")
+    before = None
     while True:
-        sent = now.join(pairs, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "colour")
-        then = now.withColumn("was", F.col("colour")).unionByName(sent.withColumn("was", F.lit(None).cast("string")))
-        then = stored(then.groupBy("node").agg(F.max("colour").alias("colour"), F.max("was").alias("was")), "colours")
-        now = then.select("node", "colour")
-        if then.where("colour <> was").isEmpty():
-            return now
+        ahead = now.select(F.col("node").alias("head"), F.col("head").alias("far"), F.col("best").alias("far_best"))
+        met = now.where("head is not null").join(ahead, "head")
+        moved = F.col("far").isNotNull()
+        then = met.select("node", F.coalesce("far", "head").alias("head"), F.when(moved, F.greatest("best", "far_best")).otherwise(F.col("best")).alias("best"), moved.alias("moved"),
+                          (moved & (F.col("far_best") > F.col("best"))).alias("rose"))
+        then = stored(then.unionByName(now.where("head is null").select("node", "head", "best", F.lit(False).alias("moved"), F.lit(False).alias("rose"))), "runs")
+        state = then.agg(F.count_if("moved").alias("moved"), F.count_if("rose").alias("rose")).first()
+        now = then.select("node", "head", "best")
+        # what moves on without end and has no higher value to come is a ring
+        if not state["moved"] or (state["moved"] == before and not state["rose"]):
+            return then.select("node", F.when(~F.col("moved"), F.col("head")).alias("head"), "best", F.col("moved").alias("ring"))
+        before = state["moved"]
+
+
+def _spread(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, value): the greatest value of the nodes that reach it, itself included. pairs: src, dst; values: node, value, a row a node."""
+    runs = stored(_runs(pairs, values), "runs-done")
+    ends = runs.where("head is null and not ring").select("node", F.col("best").alias("value"))
+    # edges into nodes with several: from the head of the run that they come along, with the run's greatest value
+    along = pairs.select("src", F.col("dst").alias("node")).join(ends.select("node"), "node", "left_semi").join(runs.withColumnRenamed("node", "src"), "src")
+    fixed = along.where("head is not null or ring").groupBy("node").agg(F.max("best").alias("brought"))
+    links = stored(along.where("not ring").select(F.coalesce("head", "src").alias("src"), "node").distinct(), "run-links")
+    now = stored(ends.join(fixed, "node", "left").select("node", F.greatest("value", "brought").alias("value")), "spread")
+    while True:
+        sent = now.join(links.withColumnRenamed("node", "to"), F.col("node") == F.col("src")).select(F.col("to").alias("node"), "value")
+        then = now.withColumn("was", F.col("value")).unionByName(sent, allowMissingColumns=True)
+        then = stored(then.groupBy("node").agg(F.max("value").alias("value"), F.max("was").alias("was")), "spread")
+        now = then.select("node", "value")
+        if then.where("value <> was").isEmpty():
+            break
+    at_head = now.select(F.col("node").alias("head"), F.col("value").alias("from_head"))
+    rest = runs.where("head is not null or ring").join(at_head, "head", "left").select("node", F.greatest("best", "from_head").alias("value"))
+    return now.unionByName(rest)
 
 
 def simple_cycles(pairs: DataFrame, limit: int = 100) -> DataFrame:

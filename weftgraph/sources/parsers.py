@@ -5,7 +5,9 @@ number of tasks; what needs other files (names in the same package, interface di
 ``operators.linking``, as joins. Comments and strings are blanked first, braces are matched once, and members are read from
 the headers between them. Python goes through its own syntax tree.
 
-A name that is imported has its full name in ``target``; others have null and are looked for later. Null or empty content:
+A name that is imported has its full name in ``target``; others have null and are looked for later. A Java call has ``chain``: what is
+called or read on the named receiver before the last call, as name/arguments or a field's name, ``arity``, the last call's number of
+arguments, and ``strict`` if it is a call without a receiver that may be inherited. A method's ``arity`` is null if it takes any number. Null or empty content:
 no rows. A file that can't be parsed: one row of kind ``unresolved``. PARSERS maps extensions to readers; register() adds one.
 """
 
@@ -17,7 +19,8 @@ import re
 from pyspark.sql import DataFrame
 
 FACTS = ("what string, module string, path string, is_test boolean, language string, package string, owner string, name string, kind string, declared string, "
-         "visibility string, annotations array<string>, is_static boolean, is_abstract boolean, synthetic boolean, line int, line_end int, target string, member string, caller string, confidence string")
+         "visibility string, annotations array<string>, is_static boolean, is_abstract boolean, synthetic boolean, line int, line_end int, target string, member string, caller string, confidence string, "
+         "chain array<string>, arity int, strict boolean")
 COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 
 # Type names that are no types of a project.
@@ -54,6 +57,13 @@ class Source:
                 stack.append(i)
         for i in stack:
             self.close[i] = len(text)
+        self.round, self.opened, stack = {}, {}, []
+        for m in re.finditer(r"[()]", self.bare):
+            if m.group() == "(":
+                stack.append(m.start())
+            elif stack:
+                at = stack.pop()
+                self.round[at], self.opened[m.start()] = m.start(), at
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
 
     def line(self, at: int) -> int:
@@ -70,6 +80,59 @@ class Source:
                 return i + 1
         return len(self.bare)
 
+    def last_before(self, at: int) -> int:
+        """The position of the last character before ``at`` that is no white space; -1 if there is none."""
+        at -= 1
+        while at >= 0 and self.bare[at].isspace():
+            at -= 1
+        return at
+
+    def word_ending(self, at: int) -> str:
+        """The word whose last character is at ``at``; empty if there is none."""
+        start = at
+        while start >= 0 and (self.bare[start].isalnum() or self.bare[start] in "_$"):
+            start -= 1
+        return self.bare[start + 1:at + 1]
+
+    def arguments(self, at: int) -> int:
+        """How many arguments the call has whose bracket opens at ``at``."""
+        end, level, n = self.round.get(at, at + 1), 0, 1
+        for c in self.bare[at + 1:end]:
+            level += (c in "([{<") - (c in ")]}>")
+            n += c == "," and level <= 0
+        # a string is blank here, but an argument
+        return n if n > 1 or re.sub(r"/\*.*?\*/|//[^\n]*", "", self.text[at + 1:end], flags=re.S).strip() else 0
+
+    def receiver(self, at: int) -> tuple[str, list[str]] | None:
+        """(base, links) before a call whose name begins at ``at``: the base is a name, ``new`` and a name, or empty for a call
+        on the type itself. None: an expression that is none of these."""
+        links, dot = [], self.last_before(at)
+        while True:
+            i = self.last_before(dot)
+            if i < 0:
+                return None
+            if self.bare[i] == ")":
+                opened = self.opened.get(i)
+                i = -1 if opened is None else self.last_before(opened)
+                word = self.word_ending(i)
+                before = self.last_before(i - len(word) + 1)
+                if not word or word in NOT_CALLS:
+                    return None
+                if self.word_ending(before) == "new":
+                    return f"new {word}", links
+                links.insert(0, f"{word}/{self.arguments(opened)}")
+                if before < 0 or self.bare[before] != ".":
+                    return "", links
+            else:
+                word = self.word_ending(i)
+                before = self.last_before(i - len(word) + 1)
+                if not word:
+                    return None
+                if before < 0 or self.bare[before] != ".":
+                    return word, links
+                links.insert(0, word)
+            dot = before
+
     def notes(self, start: int, end: int) -> tuple[list[str], str]:
         """Annotations from start to end, each by simple name and as written, and what follows them."""
         out, at = [], start
@@ -160,7 +223,8 @@ def _java_type(src: Source, out: Facts, m: re.Match) -> None:
     out.add("type", own, m.group(2), kind, line, line_end=src.line(end), visibility=_java_visibility(words), annotations=notes, is_abstract="abstract" in words)
     tail = _plain(m.group(3))
     clause = {k: _split(v) for k, v in re.findall(r"\b(extends|implements)\s+(.*?)(?=\bextends\b|\bimplements\b|\bpermits\b|$)", tail, re.S)}
-    for base in clause.get("extends", [])[:1]:
+    bases = clause.get("extends", []) + clause.get("implements", [])
+    for base in clause.get("extends", [])[:1] if kind != "INTERFACE" else clause.get("extends", []):
         out.ref(own, "EXTENDS", base, line, base if "." in base else None)
     for base in clause.get("implements", []):
         out.ref(own, "IMPLEMENTS", base, line, base if "." in base else None)
@@ -184,7 +248,7 @@ def _java_type(src: Source, out: Facts, m: re.Match) -> None:
     _lombok(out, own, notes, fields, line)
     declared, qualifiers, siblings = {f: t for f, (t, *_) in fields.items()}, {f: q for f, (*_, q) in fields.items()}, {n for n, *_ in methods}
     for name, params, start, stop in methods:
-        _java_calls(src, out, own, name, declared | params, qualifiers, siblings, start, stop)
+        _java_calls(src, out, own, name, declared | params, qualifiers, siblings, bases, start, stop)
 
 
 def _java_member(src, out, own, type_kind, at, head_end, stop, block, notes, head, fields, methods):
@@ -203,7 +267,8 @@ def _java_member(src, out, own, type_kind, at, head_end, stop, block, notes, hea
                 declared, name = p.rsplit(None, 1)
                 params[name] = declared.strip()
         name = "<init>" if not sign.group(1).strip() else sign.group(2)
-        out.add("method", own, name, "METHOD", line, declared=sign.group(1).strip(), member=f"{name}({','.join(params.values())})", is_abstract="abstract" in words or (type_kind == "INTERFACE" and not block), line_end=src.line(stop), **more)
+        out.add("method", own, name, "METHOD", line, declared=sign.group(1).strip(), member=f"{name}({','.join(params.values())})", target=out.imports.get(_plain(sign.group(1))),
+                arity=None if any(t.endswith("...") for t in params.values()) else len(params), is_abstract="abstract" in words or (type_kind == "INTERFACE" and not block), line_end=src.line(stop), **more)
         if block:
             methods.append((name, params, head_end, stop))
         return
@@ -212,26 +277,46 @@ def _java_member(src, out, own, type_kind, at, head_end, stop, block, notes, hea
         for name in re.findall(r"\w+", declared.group(2)):
             qualifier = (re.search(r"@(?:Qualifier|Named)\s*\(\s*\"([^\"]+)\"", ";".join(notes)) or [None, None])[1]
             fields[name] = (declared.group(1), "final" in words, qualifier)
-            out.add("field", own, name, "FIELD", line, declared=declared.group(1), member=qualifier, **more)
+            out.add("field", own, name, "FIELD", line, declared=declared.group(1), member=qualifier, target=out.imports.get(_plain(declared.group(1))), **more)
+
 
+def _java_calls(src, out, own, method, known, qualifiers, siblings, bases, start, stop):
+    known = known | {m.group(2): m.group(1) for m in re.finditer(r"\b([A-Z]\w*)(?:<[^;=()]*>)?\s+(\w+)\s*(?=[=;:])", src.bare[start:stop])}
+    simple = own.rsplit(".", 1)[-1]
 
-def _java_calls(src, out, own, method, known, qualifiers, siblings, start, stop):
-    body = src.bare[start:stop]
-    known = known | {m.group(2): m.group(1) for m in re.finditer(r"\b([A-Z]\w*)(?:<[^;=()]*>)?\s+(\w+)\s*(?=[=;:])", body)}
-    for m in re.finditer(r"(?:\b(\w+)\s*\.\s*)?\b(\w+)\s*\(", body):
-        who, name, line = m.group(1), m.group(2), src.line(start + m.start())
-        before = body[:m.start()].rstrip()
+    def call(declared, target, name, at, chain=(), strict=False, qualifier=None):
+        out.ref(own, "CALLS", declared, src.line(at), target, name, method)
+        out.rows[-1] |= {"declared": qualifier, "chain": list(chain), "arity": src.arguments(src.bare.index("(", at)), "strict": strict}
+
+    for m in re.compile(r"\b(\w+)\s*\(").finditer(src.bare, start, stop):
+        name, at = m.group(1), m.start()
+        before = src.last_before(at)
+        word = src.word_ending(before)
         if name in REFLECTION:
-            out.ref(own, "CALLS", name, line, REFLECTION[name], name, method, "POSSIBLE")
-        elif re.search(r"\bnew$", before) and not who:
-            out.ref(own, "CALLS", name, line, None, "<init>", method)
-        elif who and who not in ("this", "super"):
-            declared = _plain(known.get(who, who if who[:1].isupper() else ""))
-            if declared and not before.endswith("."):
-                out.ref(own, "CALLS", declared, line, None, name, method)
-                out.rows[-1]["declared"] = qualifiers.get(who)
-        elif name in siblings and not before.endswith("."):
-            out.ref(own, "CALLS", own.rsplit(".", 1)[-1], line, own, name, method)
+            out.ref(own, "CALLS", name, src.line(at), REFLECTION[name], name, method, "POSSIBLE")
+        elif word == "new":
+            out.ref(own, "CALLS", name, src.line(at), None, "<init>", method)
+        elif before < 0 or src.bare[before] != ".":
+            if name in siblings:
+                call(simple, own, name, at)
+            elif bases and name not in NOT_CALLS and name[:1].islower() and (not word or word in NOT_CALLS or word in ("else", "do", "case")):
+                call(simple, own, name, at, strict=True)
+        else:
+            base, links = src.receiver(at) or (None, [])
+            if base is None:
+                continue
+            first = base.removeprefix("new ")
+            declared = first if base.startswith("new ") else _plain(known.get(first, first if first[:1].isupper() else ""))
+            if base in ("", "this"):
+                if links or name in siblings or bases:
+                    call(simple, own, name, at, links, strict=not links and name not in siblings)
+            elif base == "super":
+                if bases:
+                    call(bases[0], bases[0] if "." in bases[0] else None, name, at, links)
+            elif declared:
+                call(declared, None, name, at, links, qualifier=None if links else qualifiers.get(base))
+            elif bases:
+                call(simple, own, name, at, [base, *links])
 
 
 def _lombok(out: Facts, own: str, notes: list[str], fields: dict, line: int) -> None:
@@ -239,7 +324,7 @@ def _lombok(out: Facts, own: str, notes: list[str], fields: dict, line: int) ->
     has = set(notes)
 
     def made(name, args="", declared=""):
-        out.add("method", own, name, "METHOD", 0, declared=declared, member=f"{name}({args})", visibility="PUBLIC", annotations=[], synthetic=True)
+        out.add("method", own, name, "METHOD", 0, declared=declared, member=f"{name}({args})", visibility="PUBLIC", annotations=[], synthetic=True, target=out.imports.get(_plain(declared)), arity=len(_split(args)))
 
     for f, (declared, final, _) in fields.items():
         cap = f[:1].upper() + f[1:]
