@@ -34,8 +34,10 @@ def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, violating: Da
     out = calls.select(owner(F.col("source_fqn")).alias("root"), F.col("target_fqn").contains("reflect").alias("r")).join(roots, "root", "left_semi").groupBy("root").agg(F.count("*").alias("fan_out"), F.bool_or("r").alias("reflects"))
     types = symbols.where("kind not in ('METHOD', 'FIELD')")
     modules = types.groupBy(F.col("qualified_name").alias("node")).agg(F.max("module").alias("leaf")).where("leaf is not null").withColumn("kind", F.lit("module"))
-    up = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.CALLS, True), roots, modules), transitive_callers="node", affected_modules="module")
-    far = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.DEPENDS, True), roots, traverse.tests_of(edges)), dependents="node", affected_tests="test")
+    calling, depending = (stored(traverse.adjacency(edges, kinds, True), "adjacency") for kinds in (traverse.CALLS, traverse.DEPENDS))
+    wide = counts.components(depending)
+    up = counts.by_kind(counts.reach_counts(calling, roots, modules, of=counts.components(calling, wide)), transitive_callers="node", affected_modules="module")
+    far = counts.by_kind(counts.reach_counts(depending, roots, traverse.tests_of(edges), of=wide), dependents="node", affected_tests="test")
     meta = symbols.groupBy(F.col("qualified_name").alias("root")).agg(F.min(F.struct("visibility", "kind", "annotations")).alias("m"))
     got = roots.join(meta, "root", "left")
     for part in (callers, out, up, far):
@@ -260,12 +262,40 @@ def nearest(vectors: DataFrame, query: DataFrame, top: int = 10) -> DataFrame:
     return met.select("vec_id", F.round(score, 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(top)
 
 
-def symbol_at_line(symbols: DataFrame, positions: DataFrame) -> DataFrame:
-    """positions: file_path, line. The first symbol that spans the line, else the one that starts nearest."""
-    met = positions.join(symbols.select("file_path", "qualified_name", "line_start", "line_end"), "file_path")
-    inside = F.col("line").between(F.col("line_start"), F.col("line_end"))
-    rank = F.struct(F.when(inside, 0).otherwise(1).alias("t"), F.when(inside, F.col("line_start")).otherwise(F.abs(F.col("line_start") - F.col("line"))).alias("d"), F.col("qualified_name").alias("q"))
-    return met.groupBy("file_path", "line").agg(F.min(rank).alias("b")).select("file_path", "line", F.col("b.q").alias("symbol"))
+#: Sizes of line ranges that the index of symbols tells apart: powers of two up to 2^31.
+LEVELS = 32
+
+
+def line_ranges(symbols: DataFrame) -> DataFrame:
+    """An index of (file_path, level, bin) over symbols' line ranges: a range is filed at the level whose bins are as long as it or
+    longer, so in two bins at most, however many lines it has. Ranges that end before they begin are left out."""
+    first, last = F.col("line_start"), F.col("line_end")
+    level = F.ceil(F.log2((last - first + 1).cast("double"))).cast("int")
+    filed = symbols.where("line_end >= line_start").withColumn("level", level)
+    at = lambda line: F.expr(f"shiftright(cast({line} AS long), level)")
+    return filed.withColumn("bin", F.explode(F.array_distinct(F.array(at("line_start"), at("line_end")))))
+
+
+def symbol_at_line(symbols: DataFrame, positions: DataFrame, innermost: bool = False) -> DataFrame:
+    """positions: file_path, line. The first symbol that spans the line (innermost: the one that starts last, then ends first), else the
+    one that starts nearest. By name among equals.
+
+    A position asks the index one bin a level, so it meets the ranges about it and not all of its file. For the nearest starts a file's
+    starts and positions are sorted together; a position then takes the last start before it and the first one after it."""
+    asked = positions.select("file_path", "line").distinct()
+    probes = asked.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(LEVELS)]))).withColumn("bin", F.expr("shiftright(cast(line AS long), level)"))
+    ranges = line_ranges(symbols.select("file_path", "qualified_name", "line_start", "line_end"))
+    met = probes.join(ranges, ["file_path", "level", "bin"]).where("line between line_start and line_end")
+    order = (-F.col("line_start"), F.col("line_end")) if innermost else (F.col("line_start"),)
+    inside = met.groupBy("file_path", "line").agg(F.min(F.struct(*order, F.col("qualified_name").alias("q"))).alias("b")).select("file_path", "line", F.col("b.q").alias("symbol"))
+    rest = asked.join(inside, ["file_path", "line"], "left_anti")
+    starts = symbols.groupBy("file_path", F.col("line_start").alias("line")).agg(F.min("qualified_name").alias("q")).join(rest.select("file_path").distinct(), "file_path", "left_semi")
+    both = starts.withColumn("start", F.struct("line", "q")).select("file_path", "line", "start").unionByName(rest, allowMissingColumns=True)
+    sorted_by = Window.partitionBy("file_path").orderBy("line")
+    near = both.withColumn("low", F.last("start", True).over(sorted_by.rangeBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first("start", True).over(sorted_by.rangeBetween(0, Window.unboundedFollowing))).where("start is null")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.line") - F.col("line")).alias("d"), F.col(f"{c}.q").alias("q")))
+    best = near.withColumn("b", F.least(far("low"), far("high"))).where("b is not null").select("file_path", "line", F.col("b.q").alias("symbol"))
+    return inside.unionByName(best)
 
 
 # Patterns that read a service name and a path from an annotation's text, and the mappings that name a verb.

@@ -46,15 +46,25 @@ def _bit_sums(words: DataFrame) -> DataFrame:
     return per.where("n > 0").select("kind", (F.col("block") * BITS + F.col("bit")).alias("id"), "n")
 
 
-def reach_counts(adjacent: DataFrame, roots: DataFrame, leaves: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+def components(adjacent: DataFrame, wider: DataFrame | None = None) -> DataFrame:
+    """(node, component, size) of the components of adjacent (at, next). wider: those of a graph that has these pairs and more; each
+    component is inside one of them, so only pairs inside them are searched."""
+    pairs = adjacent.where("at <> next").toDF("src", "dst")
+    if wider is not None:
+        one, two = (wider.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c")) for c in ("src", "dst"))
+        pairs = pairs.join(one, "src").join(two, "dst").where("src_c = dst_c").select("src", "dst")
+    return stored(traverse.strongly_connected(pairs).select("node", "component", "size"), "components")
+
+
+def reach_counts(adjacent: DataFrame, roots: DataFrame, leaves: DataFrame | None = None, max_depth: int | None = None, of: DataFrame | None = None) -> DataFrame:
     """(root, kind, n) for n over 0: kind 'node' counts the other nodes that a root reaches along adjacent (at, next), in max_depth hops at
-    most. leaves: (node, kind, leaf), more that hangs on nodes; a kind counts the distinct leaves of the root and what it reaches."""
+    most. leaves: (node, kind, leaf), more that hangs on nodes; a kind counts the distinct leaves of the root and what it reaches.
+    of: components() of adjacent, where they are known."""
     ids = numbered(roots)
     pairs = adjacent.where("at <> next").distinct()
     if max_depth is None:
         pairs = stored(pairs, "pairs")
-        inside = traverse.strongly_connected(pairs.toDF("src", "dst"))
-        of = stored(inside.select("node", "component", "size"), "condensed")
+        of = components(pairs) if of is None else of
         named = lambda rows, c: rows.join(of.select(F.col("node").alias(c), F.col("component").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
         pairs = named(named(pairs, "at"), "next").where("at <> next").distinct()
         sizes = of.select(F.col("component").alias("at"), "size").distinct()

@@ -117,9 +117,9 @@ def _found(wanted: DataFrame, up: DataFrame, members: DataFrame) -> DataFrame:
     return best.select("at", "name", "arity", F.col("b.m.decl").alias("decl"), F.col("b.m.returns").alias("returns"), sure.alias("sure"), (F.col("b.results") <= 1).alias("one"))
 
 
-def _declaring(calls: DataFrame, index: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _declaring(calls: DataFrame, index: DataFrame, types: DataFrame, up: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Java calls with full at the type that declares what is called, and (module, at) of the types that they went through."""
-    up, members = ancestors(index, types), stored(_members(index, types), "members")
+    members = stored(_members(index, types), "members")
     state = stored(calls.withColumn("at", owner(F.col("full"))).withColumn("follows", F.lit(True)), "calls")
     longest = state.agg(F.coalesce(F.max(F.size("chain")), F.lit(0))).first()[0]
     went = state.select("module", "at").distinct()
@@ -155,11 +155,15 @@ def linked(facts: DataFrame, index: DataFrame | None = None) -> dict[str, DataFr
     types = stored(_types(index), "types")
     refs = stored(resolved(facts, index), "refs")
     chained = F.col("chain").isNotNull()
-    calls, passed = _declaring(refs.where(chained & F.col("full").isNotNull()), index, types)
+    up = stored(ancestors(index, types), "hierarchy")
+    calls, passed = _declaring(refs.where(chained & F.col("full").isNotNull()), index, types, up)
     hit = refs.where(~chained & F.col("full").isNotNull()).unionByName(_with_kinds(calls, types).select(*refs.columns))
-    hit = stored(hit, "hits")
+    mocked = stored(_mocked(facts, types, up), "mocked")
+    dull = F.col("is_test") & (F.col("kind") == "CALLS") & (F.col("language") == "java") & (F.coalesce("member", F.lit("")) != "<init>")
+    met = hit.withColumn("simple", F.when(dull, simple_name(owner(F.col("full"))))).join(mocked, ["module", "owner", "simple"], "left_anti")
+    hit = stored(met.select(*refs.columns), "hits")
     target = F.when((F.col("language") == "java") & (F.col("kind") == "CALLS"), F.concat_ws("#", "full", "member")).otherwise(F.col("full"))
-    parts = [_edge(hit, target, "kind"), _dispatch(hit, index, types), _field_uses(facts, types), _mapper_uses(facts, types), _tests(facts, hit, types)]
+    parts = [_edge(hit, target, "kind"), _dispatch(hit, index, types), _field_uses(facts, types), _mapper_uses(facts, types), _tests(facts, hit, types, mocked)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -246,10 +250,18 @@ def _mapper_uses(facts: DataFrame, types: DataFrame) -> DataFrame:
     return _edge(named.withColumn("caller", F.col("name")).join(first, "simple").where("fqn <> owner"), "fqn", F.lit("USES"), F.lit("CONFIRMED"))
 
 
-def _tests(facts: DataFrame, hit: DataFrame, types: DataFrame) -> DataFrame:
+def _mocked(facts: DataFrame, types: DataFrame, up: DataFrame) -> DataFrame:
+    """(module, owner, simple): the simple names of types that Java test types replace, by a field's annotation, and of these types' own subtypes."""
+    fields = facts.where("what = 'field' and is_test and language = 'java'").where(F.arrays_overlap("annotations", F.array(*[F.lit(m) for m in MOCKS])))
+    named = fields.select("module", "owner", _bare(F.col("declared")).alias("simple")).distinct()
+    under = up.where("depth = 1").select(F.col("ancestor").alias("fqn"), simple_name(F.col("type")).alias("sub"))
+    subs = named.join(types.groupBy("simple").agg(F.min("fqn").alias("fqn")), "simple").join(under, "fqn").select("module", "owner", F.col("sub").alias("simple"))
+    return named.unionByName(subs).distinct()
+
+
+def _tests(facts: DataFrame, hit: DataFrame, types: DataFrame, mocked: DataFrame) -> DataFrame:
     """Java test types to the production types that they import or call (confirmed), else to those they name (possible); not to replaced ones."""
     fields = facts.where("what = 'field' and is_test and language = 'java'").withColumn("simple", _bare(F.col("declared")))
-    mocked = fields.where(F.arrays_overlap("annotations", F.array(*[F.lit(m) for m in MOCKS]))).select("module", "owner", "simple").distinct()
     made = hit.where("is_test and language = 'java' and kind in ('IMPORTS', 'CALLS') and type_kind is not null and not test_type").withColumn("simple", simple_name(owner(F.col("full"))))
     sure = made.join(mocked, ["module", "owner", "simple"], "left_anti").withColumn("line", F.lit(0)).withColumn("caller", F.lit(""))
     sure = sure.withColumn("goal", owner(F.col("full")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.ids import owner, package
-from weftgraph.plans.scratch import counted, new_path, stored
+from weftgraph.plans.scratch import counted, new_path, stored, stored_with
 
 CALLS = ("CALLS",)
 #: Kinds that make a type depend on another.
@@ -158,18 +158,17 @@ SINGLE_ROUNDS = 6
 
 def _trimmed(pairs: DataFrame) -> DataFrame:
     """pairs without the nodes that lack an edge in or out, over and over until none goes."""
-    count, rounds = pairs.count(), 0
+    every, count, rounds = {"n": F.count(F.lit(1))}, -1, 0
     while count:
         kept = pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = kept.join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        pairs, rounds = stored(kept.select("src", "dst"), "scc"), rounds + 1
-        then = pairs.count()
-        if then and rounds > SINGLE_ROUNDS:
-            pairs = stored(_without_tails(_without_tails(pairs).select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc")
-            then = pairs.count()
-        if then == count:
+        (pairs, got), rounds = stored_with(kept.select("src", "dst"), "scc", **every), rounds + 1
+        if got["n"] and rounds > SINGLE_ROUNDS:
+            turned = _without_tails(_without_tails(pairs).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            pairs, got = stored_with(turned.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc", **every)
+        if got["n"] == count:
             break
-        count = then
+        count = got["n"]
     return pairs
 
 
@@ -193,8 +192,8 @@ def _runs(pairs: DataFrame, values: DataFrame) -> DataFrame:
         moved = F.col("far").isNotNull()
         then = met.select("node", F.coalesce("far", "head").alias("head"), F.when(moved, F.greatest("best", "far_best")).otherwise(F.col("best")).alias("best"), moved.alias("moved"),
                           (moved & (F.col("far_best") > F.col("best"))).alias("rose"))
-        then = stored(then.unionByName(now.where("head is null").select("node", "head", "best", F.lit(False).alias("moved"), F.lit(False).alias("rose"))), "runs")
-        state = then.agg(F.count_if("moved").alias("moved"), F.count_if("rose").alias("rose")).first()
+        then = then.unionByName(now.where("head is null").select("node", "head", "best", F.lit(False).alias("moved"), F.lit(False).alias("rose")))
+        then, state = stored_with(then, "runs", moved=F.count_if("moved"), rose=F.count_if("rose"))
         now = then.select("node", "head", "best")
         # what moves on without end and has no higher value to come is a ring
         if not state["moved"] or (state["moved"] == before and not state["rose"]):
@@ -214,9 +213,9 @@ def _spread(pairs: DataFrame, values: DataFrame) -> DataFrame:
     while True:
         sent = now.join(links.withColumnRenamed("node", "to"), F.col("node") == F.col("src")).select(F.col("to").alias("node"), "value")
         then = now.withColumn("was", F.col("value")).unionByName(sent, allowMissingColumns=True)
-        then = stored(then.groupBy("node").agg(F.max("value").alias("value"), F.max("was").alias("was")), "spread")
+        then, state = stored_with(then.groupBy("node").agg(F.max("value").alias("value"), F.max("was").alias("was")), "spread", rose=F.count_if(F.col("value") != F.col("was")))
         now = then.select("node", "value")
-        if then.where("value <> was").isEmpty():
+        if not state["rose"]:
             break
     at_head = now.select(F.col("node").alias("head"), F.col("value").alias("from_head"))
     rest = runs.where("head is not null or ring").join(at_head, "head", "left").select("node", F.greatest("best", "from_head").alias("value"))

@@ -182,6 +182,24 @@ def impact_score(spark, d):
     return analyse.impact(edges(spark, d), symbols(spark, d), _geo(spark, d)).select("symbol", "direct_callers", "transitive_callers", "dependents", "affected_tests", "fan_out", "score", "level")
 
 
+_ALL = "SELECT qualified_name AS root FROM y"
+
+
+@query(VIEWS + _closure("up", _ALL, CALL) + _closure("far", _ALL, DEP) + """,
+c AS (SELECT split_part(target_fqn,'#',1) AS root, count(DISTINCT CASE WHEN caller_member<>'' THEN source_fqn||'#'||caller_member ELSE source_fqn END) AS n FROM g WHERE kind='CALLS' GROUP BY 1),
+u AS (SELECT root, count(*) AS n FROM up WHERE node<>root GROUP BY 1),
+um AS (SELECT root, count(DISTINCT module) AS m FROM (SELECT root, node FROM up UNION SELECT qualified_name, qualified_name FROM y) JOIN y ON qualified_name=node GROUP BY 1),
+f AS (SELECT root, count(*) AS n FROM far WHERE node<>root GROUP BY 1),
+t AS (SELECT root, count(DISTINCT source_fqn) AS n FROM (SELECT root, node FROM far UNION SELECT qualified_name, qualified_name FROM y) JOIN g ON g.kind='TESTS' AND target_fqn=node GROUP BY 1)
+SELECT qualified_name AS symbol, coalesce(c.n,0) AS direct_callers, coalesce(u.n,0) AS transitive_callers, coalesce(f.n,0) AS dependents, coalesce(t.n,0) AS affected_tests, coalesce(u.n,0)+1 AS affected_classes, greatest(1, coalesce(um.m,0)) AS affected_modules
+FROM y LEFT JOIN c ON c.root=qualified_name LEFT JOIN u ON u.root=qualified_name LEFT JOIN um ON um.root=qualified_name LEFT JOIN f ON f.root=qualified_name LEFT JOIN t ON t.root=qualified_name""")
+def impact_of_all_types(spark, d):
+    """Every type as a root."""
+    y = symbols(spark, d)
+    got = analyse.impact(edges(spark, d), y, y.select(F.col("qualified_name").alias("root")))
+    return got.select("symbol", "direct_callers", "transitive_callers", "dependents", "affected_tests", "affected_classes", "affected_modules")
+
+
 @query(_IMPACT + """, k AS (SELECT DISTINCT caller FROM c WHERE root IN (SELECT root FROM r)), n AS (SELECT DISTINCT split_part(caller,'#',1) AS q FROM k UNION SELECT root FROM r)
 SELECT CAST(max(score) AS INT) AS max_score, (SELECT count(*) FROM k) AS callers, (SELECT count(DISTINCT source_fqn) FROM g JOIN far ON node=target_fqn WHERE g.kind='TESTS') AS tests, (SELECT count(*) FROM n) AS classes, (SELECT count(DISTINCT y.module) FROM n JOIN y ON qualified_name=q) AS modules FROM s""")
 def impact_diff(spark, d):

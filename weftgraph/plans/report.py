@@ -5,7 +5,7 @@ All counts, rankings and cuts are made in Spark; only rows that a section shows
 
 from __future__ import annotations
 
-import difflib
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +84,31 @@ def table(rows: DataFrame, title: str, order: list, most: int = 100) -> str:
     return "\n".join([*head, "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *["| " + " | ".join(safe("" if v is None else v) for v in r) + " |" for r in cut], ""])
 
 
+#: Lines that one side of a hunk has at most.
+HUNK = 21
+
+
+def _until(lines: list[str], at: int, mark: str | None) -> int:
+    """Where the run from at ends: before the next line equal to mark (None: at the end), after HUNK lines at most."""
+    stop = min(len(lines), at + HUNK)
+    return next((k for k in range(at, stop) if lines[k] == mark), stop) if mark is not None else stop
+
+
 def unified_diff(path: str, before: str, after: str) -> str:
-    """A unified diff without context lines; empty for equal texts."""
+    """A diff without context lines, found greedily: where the texts part, old lines go until the new text's next line turns up, then new
+    lines come until the old text's next line does. Empty for equal texts."""
+    if before == after:
+        return ""
+    old, new = (re.split(r"\r\n|\r|\n", text) for text in (before, after))
     at = path.replace("\\", "/")
-    lines = list(difflib.unified_diff(before.split("\n"), after.split("\n"), f"a/{at}", f"b/{at}", n=0, lineterm=""))
-    return "\n".join(lines) + "\n" if lines else ""
+    out, i, j = [f"--- a/{at}", f"+++ b/{at}"], 0, 0
+    while i < len(old) or j < len(new):
+        if i < len(old) and j < len(new) and old[i] == new[j]:
+            i, j = i + 1, j + 1
+            continue
+        gone = _until(old, i, new[j] if j < len(new) else None)
+        come = _until(new, j, old[gone] if gone < len(old) else None)
+        out.append(f"@@ -{i + 1},{gone - i} +{j + 1},{come - j} @@")
+        out += ["-" + line for line in old[i:gone]] + ["+" + line for line in new[j:come]]
+        i, j = gone, come
+    return "\n".join(out) + "\n"

@@ -35,6 +35,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def stored_with(df: DataFrame, label: str, **sums) -> tuple[DataFrame, dict]:
+    """stored(), and aggregates over the rows, made on the way."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(n) for n, c in sums.items()]), label)
+    return out, seen.get
+
+
 def counted(df: DataFrame, path: str) -> int:
     """Writes df and returns how many rows it has, counted on the way."""
     seen = Observation()

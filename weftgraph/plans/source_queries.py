@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import analyse, linking
+from weftgraph.operators import analyse, linking, refactor
 from weftgraph.plans import emit
 from weftgraph.plans.queries import VIEWS, query
-from weftgraph.plans.scratch import stored
-from weftgraph.sources import config, parsers, project, repository
+from weftgraph.plans.scratch import new_path, stored
+from weftgraph.sources import config, graph_store, parsers, project, repository
 from weftgraph.sources.derived import edges, order_symbols, symbols, table
 
 
@@ -68,6 +68,111 @@ def source_edges(spark, d):
     return got.select("source_fqn", "target_fqn", "kind", "confidence").distinct()
 
 
+def edited_tree(spark, d):
+    """java_tree() after an edit: even regions inherit enter from a new base type, and tests of every tenth supplier are gone."""
+    region = table(spark, d, "region")
+    r = F.col("r_regionkey")
+    heirs = _text("package geo.region;\npublic class R", r, " extends Base {\n  private void rest() { enter(", r, "); }\n}\n")
+    base = _text("package geo.region;\npublic class Base implements Zone {\n  public int enter(int day) { return day; }\n}\n")
+    gone = F.col("path").rlike("/S[0-9]*0Test") | F.col("path").rlike("/R[0-9]*[02468][.]java$")
+    return java_tree(spark, d).where(~gone).unionByName(_files(region.where(r % 2 == 0), "geo", "geo/region", _text("R", r), heirs)).unionByName(_files(spark.range(1), "geo", "geo/region", _text("Base"), base))
+
+
+@query("""SELECT 'geo.region.R'||r_regionkey AS source_fqn, CASE WHEN r_regionkey%2=0 THEN 'geo.region.Base' ELSE 'geo.region.Zone' END AS target_fqn, CASE WHEN r_regionkey%2=0 THEN 'EXTENDS' ELSE 'IMPLEMENTS' END AS kind, 'CONFIRMED' AS confidence FROM region
+UNION ALL SELECT 'geo.region.Base', 'geo.region.Zone', 'IMPLEMENTS', 'CONFIRMED'
+UNION ALL SELECT 'geo.region.R'||r_regionkey, CASE WHEN r_regionkey%2=0 THEN 'geo.region.Base' ELSE 'geo.region.R'||r_regionkey END||'#enter', 'CALLS', 'CONFIRMED' FROM region
+UNION ALL SELECT 'geo.nation.N'||n_nationkey, 'geo.region.R'||n_regionkey, 'IMPORTS', 'CONFIRMED' FROM nation
+UNION ALL SELECT 'geo.nation.N'||n_nationkey, 'geo.region.R'||n_regionkey, 'USES', 'POSSIBLE' FROM nation
+UNION ALL SELECT 'geo.nation.N'||n_nationkey, CASE WHEN n_regionkey%2=0 THEN 'geo.region.Base' ELSE 'geo.region.R'||n_regionkey END||'#enter', 'CALLS', 'CONFIRMED' FROM nation
+UNION ALL SELECT 'catalog.supplier.S'||s_suppkey, 'geo.nation.N'||s_nationkey, 'IMPORTS', 'CONFIRMED' FROM supplier
+UNION ALL SELECT 'catalog.supplier.S'||s_suppkey, 'geo.nation.N'||s_nationkey, 'USES', 'POSSIBLE' FROM supplier
+UNION ALL SELECT 'catalog.supplier.S'||s_suppkey, 'geo.nation.N'||s_nationkey||'#visit', 'CALLS', 'CONFIRMED' FROM supplier
+UNION ALL SELECT 'catalog.supplier.S'||s_suppkey||'Test', 'catalog.supplier.S'||s_suppkey||'#<init>', 'CALLS', 'CONFIRMED' FROM supplier WHERE s_suppkey%10=5
+UNION ALL SELECT 'catalog.supplier.S'||s_suppkey||'Test', 'catalog.supplier.S'||s_suppkey||'#ship', 'CALLS', 'CONFIRMED' FROM supplier WHERE s_suppkey%10=5
+UNION ALL SELECT 'catalog.supplier.S'||s_suppkey||'Test', 'catalog.supplier.S'||s_suppkey, 'TESTS', 'CONFIRMED' FROM supplier WHERE s_suppkey%10=5""")
+def edges_after_edit(spark, d):
+    """The edges of a store that was made of one tree and brought up to another."""
+    kept = graph_store.GraphStore(spark, new_path(spark, "edited-store"))
+    graph_store.update(kept, java_tree(spark, d), parsers.extract)
+    graph_store.update(kept, edited_tree(spark, d), parsers.extract)
+    return kept.read("edges").where("not startswith(target_fqn, 'lost.') and not startswith(target_fqn, 'java.')").select("source_fqn", "target_fqn", "kind", "confidence").distinct()
+
+
+def chained_tree(spark, d):
+    """Customers that call their nation's region through two results, and what their nation inherits."""
+    region, nation, customer = table(spark, d, "region"), table(spark, d, "nation"), table(spark, d, "customer")
+    r, n, c = F.col("r_regionkey"), F.col("n_nationkey"), F.col("c_custkey")
+    regions = _text("package geo.region;\npublic class R", r, " {\n  public int enter() { return 0; }\n  public int enter(int day) { return day; }\n}\n")
+    place = _text("package geo.nation;\npublic class Place { void far() {} }\n")
+    nations = _text("package geo.nation;\nimport geo.region.R", F.col("n_regionkey"), ";\npublic class N", n, " extends Place {\n  public R", F.col("n_regionkey"), " region() { return null; }\n}\n")
+    own = F.col("c_nationkey")
+    customers = _text("package sales;\nimport geo.nation.N", own, ";\npublic class C", c, " {\n  N", own, " home() { return null; }\n  void tour() { home().region().enter(", c, "); home().far(); home().lost(); }\n}\n")
+    return (_files(region, "geo", "geo/region", _text("R", r), regions).unionByName(_files(spark.range(1), "geo", "geo/nation", _text("Place"), place))
+            .unionByName(_files(nation, "geo", "geo/nation", _text("N", n), nations)).unionByName(_files(customer, "sales", "sales", _text("C", c), customers)))
+
+
+@query("""SELECT 'sales.C'||c_custkey AS source_fqn, target_fqn, confidence FROM customer JOIN nation ON c_nationkey=n_nationkey, LATERAL (VALUES ('sales.C'||c_custkey||'#home','CONFIRMED'), ('geo.nation.N'||n_nationkey||'#region','CONFIRMED'),
+ ('geo.region.R'||n_regionkey||'#enter','CONFIRMED'), ('geo.nation.Place#far','CONFIRMED'), ('geo.nation.N'||n_nationkey||'#lost','POSSIBLE')) t(target_fqn, confidence)""")
+def chained_calls(spark, d):
+    facts = stored(parsers.extract(chained_tree(spark, d)), "facts")
+    return linking.link(facts).where("kind = 'CALLS'").select("source_fqn", "target_fqn", "confidence").distinct()
+
+
+@query("""SELECT 'ports.Use'||s_suppkey||'Test' AS source_fqn, 'ports.Use'||s_suppkey AS target_fqn FROM supplier
+UNION ALL SELECT 'ports.Use'||s_suppkey||'Test', 'ports.'||w||s_suppkey FROM supplier, (VALUES ('Port'),('Impl')) t(w) WHERE s_suppkey%2=1""")
+def mocked_tests(spark, d):
+    """TESTS edges of tests that replace an interface, and of tests that don't."""
+    rows = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    port = _text("package ports;\npublic interface Port", k, " { void go(); }\n")
+    impl = _text("package ports;\npublic class Impl", k, " implements Port", k, " { public void go() {} }\n")
+    use = _text("package ports;\npublic class Use", k, " { Port", k, " port; void run() { port.go(); } }\n")
+    test = _text("package ports;\npublic class Use", k, "Test {\n  ", F.when(k % 2 == 0, "@Mock ").otherwise(""), "Port", k, " port;\n  @Test void runs() { Use", k, " u = new Use", k, "(); u.run(); Impl", k, " i = new Impl", k, "(); i.go(); port.go(); }\n}\n")
+    tree = _files(rows, "p", "ports", _text("Port", k), port).unionByName(_files(rows, "p", "ports", _text("Impl", k), impl)).unionByName(_files(rows, "p", "ports", _text("Use", k), use)).unionByName(_files(rows, "p", "ports", _text("Use", k, "Test"), test, True))
+    return linking.link(stored(parsers.extract(tree), "facts")).where("kind = 'TESTS'").select("source_fqn", "target_fqn")
+
+
+@query("""SELECT 'src/main/java/geo/region/R'||r_regionkey||'.java' AS path, 1 AS changes, '--- a/src/main/java/geo/region/R'||r_regionkey||'.java'||chr(10)||'+++ b/src/main/java/geo/region/R'||r_regionkey||'.java'||chr(10)||'@@ -4,3 +4,3 @@'||chr(10)
+||'-  private void rest() { enter('||r_regionkey||'); }'||chr(10)||'-}'||chr(10)||'-'||chr(10)||'+  private void rest() { admit('||r_regionkey||'); }'||chr(10)||'+}'||chr(10)||'+'||chr(10) AS diff FROM region""")
+def rename_diffs(spark, d):
+    """Diffs of sources after a call is renamed."""
+    return refactor.plan(java_tree(spark, d).where("path like '%/R%.java'"), [{"do": "rename", "from": "enter", "to": "admit"}]).select("path", "changes", "diff")
+
+
+@query("""WITH e AS (SELECT 'c'||o_orderpriority AS case_name, 'sales.order.O'||l_orderkey AS s, 'catalog.part.P'||l_partkey AS t, l_linestatus FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_linenumber=1)
+SELECT case_name, s AS source_fqn, t AS target_owner, 'CALLS' AS kind, CASE WHEN l_linestatus='F' THEN 'CONFIRMED' ELSE 'POSSIBLE' END AS min_confidence FROM e""")
+def eval_cases_json(spark, d):
+    """Expectations read from JSON texts, one text an order."""
+    line = table(spark, d, "lineitem").where("l_linenumber = 1").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    least = F.when(F.col("l_linestatus") == "F", ', "minConfidence": "CONFIRMED"').otherwise("")
+    text = _text('[{"name": "c', F.col("o_orderpriority"), '", "seen": 1, "expectations": [{"sourceFqn": "sales.order.O', F.col("l_orderkey"), '", "targetOwner": "catalog.part.P', F.col("l_partkey"), '"', least, "}]}]")
+    return project.evaluation_cases(line.select(text.cast("binary").alias("content")))
+
+
+@query("""SELECT 'k'||o_custkey AS key, arg_max('lib'||o_orderkey||'.jar', o_orderkey) AS classpath FROM orders GROUP BY o_custkey""")
+def classpath_store(spark, d):
+    """A cache that was written in two batches, as it is read back: the last of a key."""
+    path, key = new_path(spark, "classpaths"), F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(_text("k", F.col("o_custkey")).alias("key"), F.lit("h").alias("build_hash"), _text("lib", key, ".jar").alias("classpath"), F.timestamp_seconds(key).alias("resolved_at"))
+    for odd in (1, 0):
+        project.store_classpaths(rows.where(key % 2 == odd), path)
+    return project.cached_classpaths(spark, path).select("key", "classpath")
+
+
+@query("""WITH t AS (SELECT 'f'||(p_partkey%7)||'.java' AS file_path, 'P'||p_partkey AS q, (p_partkey*37)%5000 AS a, (p_partkey*37)%5000+p_size*p_size AS b FROM part),
+q AS (SELECT DISTINCT 'f'||(l_partkey%7)||'.java' AS file_path, (l_suppkey*l_linenumber*13)%9000 AS line FROM lineitem),
+i AS (SELECT file_path, line, t.q AS symbol, row_number() OVER (PARTITION BY file_path, line ORDER BY a DESC, b, t.q) AS r FROM q JOIN t USING (file_path) WHERE line BETWEEN a AND b),
+n AS (SELECT file_path, line, t.q AS symbol, row_number() OVER (PARTITION BY file_path, line ORDER BY abs(a-line), t.q) AS r FROM q JOIN t USING (file_path) WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.file_path=q.file_path AND i.line=q.line))
+SELECT file_path, CAST(line AS INT) AS line, symbol FROM (SELECT * FROM i WHERE r=1 UNION ALL SELECT * FROM n WHERE r=1)""")
+def innermost_symbols(spark, d):
+    """Overlapping line ranges of all parts in a few files, and positions of all lines of lineitem."""
+    k = F.col("p_partkey")
+    first = (k * 37 % 5000).cast("int")
+    rows = table(spark, d, "part").select(_text("f", k % 7, ".java").alias("file_path"), _text("P", k).alias("qualified_name"), first.alias("line_start"), (first + F.col("p_size") * F.col("p_size")).cast("int").alias("line_end"))
+    at = table(spark, d, "lineitem").select(_text("f", F.col("l_partkey") % 7, ".java").alias("file_path"), (F.col("l_suppkey") * F.col("l_linenumber") * 13 % 9000).cast("int").alias("line")).distinct()
+    return analyse.symbol_at_line(rows, at, innermost=True)
+
+
 @query("SELECT 'catalog' AS module, 'lost.Thing'||(s_suppkey%3) AS symbol, 'src/main/java/catalog/supplier/S'||s_suppkey||'.java' AS file_path FROM supplier")
 def source_unresolved(spark, d):
     return linking.unresolved(_facts(spark, d)).select("module", "symbol", "file_path")

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores: rows of a table that has fewer splits than the cluster has cores are dealt out; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def _name(prefix: str, key) -> F.Column:
     return F.concat(F.lit(prefix), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
@@ -23,7 +29,7 @@ def _edge(df, source, target, kind, confidence, module, line=0, caller=""):
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    line = t("lineitem")
+    line = spread(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_returnflag"), "l_orderkey", "l_linenumber")
     parts = t("part")
     n_parts = parts.count()
     order, part, customer, nation, supplier = (lambda k, p=p: _name(p, k) for p in ("sales.order.O", "catalog.part.P", "sales.customer.C", "geo.nation.N", "catalog.supplier.S"))

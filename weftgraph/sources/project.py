@@ -109,3 +109,39 @@ def _digest(df: DataFrame) -> tuple[int, str]:
 def write_documents(documents: DataFrame, path: str) -> None:
     """One JSON document a symbol, in as many files as there are tasks."""
     documents.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+CASES = "array<struct<name: string, description: string, expectations: array<struct<sourceFqn: string, targetOwner: string, kind: string, minConfidence: string>>>>"
+
+
+def evaluation_cases(files: DataFrame) -> DataFrame:
+    """files: content (binary), each a JSON list of cases. case_name, source_fqn, target_owner, kind (CALLS) and min_confidence (POSSIBLE): a row an
+    expectation, as analyse.evaluate() takes them. Unknown keys are left out; a text that is no such list, and a case without a name or an
+    expectation without both ends, are errors."""
+    # a text with an error gives a row with null, and that is looked at
+    read = files.select(F.col("content").cast("string").alias("text")).select("text", F.from_json("text", CASES).alias("cases"))
+    wrong = lambda bad, what: F.when(bad, F.raise_error(F.lit(what)))
+    case = read.select(F.explode(F.coalesce("cases", wrong(F.col("cases").isNull(), "not a list of cases").cast(CASES))).alias("c"))
+    one = case.select(F.coalesce("c.name", wrong(F.col("c.name").isNull(), "a case has no name").cast("string")).alias("case_name"), F.explode("c.expectations").alias("e"))
+    ends = [F.coalesce(f"e.{c}", wrong(F.col(f"e.{c}").isNull(), f"an expectation has no {c}").cast("string")).alias(n) for c, n in (("sourceFqn", "source_fqn"), ("targetOwner", "target_owner"))]
+    return one.select("case_name", *ends, F.coalesce("e.kind", F.lit("CALLS")).alias("kind"), F.coalesce("e.minConfidence", F.lit("POSSIBLE")).alias("min_confidence"))
+
+
+CACHE = "key string, build_hash string, classpath string, resolved_at timestamp"
+
+
+def store_classpaths(rows: DataFrame, path: str) -> None:
+    """Adds resolved class paths (key, build_hash, classpath, resolved_at; by default now) to the cache at path. Files are added, none is changed,
+    so a lost write leaves the cache as it was."""
+    at = F.col("resolved_at") if "resolved_at" in rows.columns else F.current_timestamp()
+    rows.select("key", "build_hash", "classpath", at.alias("resolved_at")).write.mode("append").json(path)
+
+
+def cached_classpaths(spark, path: str) -> DataFrame:
+    """key, build_hash and classpath of the cache: of a key the last by time, then text. Lines that can't be read are misses; no cache: no rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], CACHE).drop("resolved_at")
+    rows = spark.read.schema(CACHE).json(path).where("key is not null and resolved_at is not null")
+    last = rows.groupBy("key").agg(F.max(F.struct("resolved_at", "build_hash", "classpath")).alias("l"))
+    return last.select("key", "l.build_hash", "l.classpath")
