@@ -84,6 +84,7 @@ def java_hash(text: Column) -> Column:
     return F.when(h >= 2147483648, h - 4294967296).otherwise(h)
 
 
+# The supported majors in jdk_major().
 def jdk_major(version: Column) -> Column:
     major = F.regexp_extract(version, r"(\d+)", 1)
     return F.when(major.isin("25", "21", "17", "11"), major).otherwise("UNKNOWN")

@@ -13,7 +13,7 @@ from weftgraph.functions.ids import owner
 from weftgraph.operators import traverse
 
 MEMBERS = ("METHOD", "FIELD")
-#: Precision and recall that an evaluation must reach on average.
+#: Precision and recall that an evaluation must reach on average.
 GATE = (0.85, 0.90)
 
 

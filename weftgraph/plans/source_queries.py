@@ -68,6 +68,38 @@ def source_edges(spark, d):
     return got.select("source_fqn", "target_fqn", "kind", "confidence").distinct()
 
 
+def language_tree(spark, d):
+    """A type a supplier that holds its nation, in four languages, each in packages of its own."""
+    rows, s, n = table(spark, d, "supplier"), F.col("s_suppkey"), F.col("s_nationkey")
+    texts = {
+        "kt": ("src/main/kotlin", _text("package kt.supply\nimport kt.geo.N", n, "\nclass S", s, "(private val home: N", n, ") : Place() {\n  fun ship(day: Int): N", n, " { return home.visit(day) }\n}\n")),
+        "ts": ("src", _text("import { N", n, " } from '../geo/n", n, "';\nexport class S", s, " extends Place {\n  constructor(private home: N", n, ") { super(); }\n  ship(day: number) { return this.home.visit(day); }\n}\n")),
+        "py": ("app", _text("from geo.n", n, " import N", n, "\nclass S", s, "(Place):\n    def __init__(self, home: N", n, "):\n        self.home = home\n    def ship(self, day: int):\n        return self.home.visit(day)\n")),
+        "go": ("src", _text("package supply\nimport (\n    \"example.org/geo\"\n)\ntype S", s, " struct {\n    Home *geo.N", n, "\n}\nfunc (s *S", s, ") Ship(to *geo.N", n, ", day int) int {\n    return 1\n}\n")),
+    }
+    out = None
+    for extension, (root, text) in texts.items():
+        own = rows.select(F.lit(extension).alias("module"), _text(f"{root}/supply/", F.lower(_text("S", s)), f".{extension}").alias("path"), F.lit(root).alias("root"), F.lit(False).alias("is_test"), text.cast("binary").alias("content"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""SELECT m AS module, kind, replace(p, '?', 'S'||s_suppkey) AS qualified_name FROM supplier, LATERAL (VALUES ('kt','CLASS','kt.supply.?'),('kt','FIELD','kt.supply.?#home'),('kt','METHOD','kt.supply.?#ship(Int)'),
+ ('ts','CLASS','supply.?'),('ts','FIELD','supply.?#home'),('ts','METHOD','supply.?#constructor(N'||s_nationkey||')'),('ts','METHOD','supply.?#ship(number)'),
+ ('py','CLASS','supply.?'),('py','FIELD','supply.?#home'),('py','METHOD','supply.?#__init__(home)'),('py','METHOD','supply.?#ship(day)'),
+ ('go','CLASS','supply.?'),('go','FIELD','supply.?#Home'),('go','METHOD','supply.?#Ship(*geo.N'||s_nationkey||',int)')) t(m, kind, p)""")
+def language_symbols(spark, d):
+    return linking.symbols_of(stored(parsers.extract(language_tree(spark, d)), "facts")).select("module", "kind", "qualified_name")
+
+
+@query("""SELECT m AS module, CASE WHEN m='kt' THEN 'kt.' ELSE '' END||'supply.S'||s_suppkey AS source_fqn, replace(p, '?', s_nationkey::VARCHAR) AS target_fqn, kind FROM supplier,
+ (VALUES ('kt','kt.geo.N?','IMPORTS'),('kt','kt.geo.N?','CALLS'),('kt','kt.geo.N?','USES'),('ts','../geo/n?','IMPORTS'),('ts','../geo/n?','CALLS'),('ts','../geo/n?','USES'),
+ ('py','geo.n?.N?','IMPORTS'),('py','geo.n?.N?','CALLS'),('py','geo.n?.N?','USES'),('go','example.org/geo','IMPORTS'),('go','example.org/geo.N?','USES')) t(m, p, kind)""")
+def language_edges(spark, d):
+    got = linking.link(stored(parsers.extract(language_tree(spark, d)), "facts"))
+    return got.where("kind <> 'EXTENDS'").select("module", "source_fqn", "target_fqn", "kind").distinct()
+
+
 def edited_tree(spark, d):
     """java_tree() after an edit: even regions inherit enter from a new base type, and tests of every tenth supplier are gone."""
     region = table(spark, d, "region")
