@@ -34,10 +34,11 @@ def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, violating: Da
     out = calls.select(owner(F.col("source_fqn")).alias("root"), F.col("target_fqn").contains("reflect").alias("r")).join(roots, "root", "left_semi").groupBy("root").agg(F.count("*").alias("fan_out"), F.bool_or("r").alias("reflects"))
     types = symbols.where("kind not in ('METHOD', 'FIELD')")
     modules = types.groupBy(F.col("qualified_name").alias("node")).agg(F.max("module").alias("leaf")).where("leaf is not null").withColumn("kind", F.lit("module"))
-    calling, depending = (stored(traverse.adjacency(edges, kinds, True), "adjacency") for kinds in (traverse.CALLS, traverse.DEPENDS))
-    wide = counts.components(depending)
-    up = counts.by_kind(counts.reach_counts(calling, roots, modules, of=counts.components(calling, wide)), transitive_callers="node", affected_modules="module")
-    far = counts.by_kind(counts.reach_counts(depending, roots, traverse.tests_of(edges), of=wide), dependents="node", affected_tests="test")
+    tests = traverse.tests_of(edges)
+    calling, depending = counts.split(traverse.hops(edges, traverse.CALLS, True), modules), counts.split(traverse.hops(edges, traverse.DEPENDS, True), tests)
+    wide = counts.components(depending.inner)
+    up = counts.by_kind(counts.reach_counts(calling, roots, modules, of=counts.components(calling.inner, wide)), transitive_callers="node", affected_modules="module")
+    far = counts.by_kind(counts.reach_counts(depending, roots, tests, of=wide), dependents="node", affected_tests="test")
     meta = symbols.groupBy(F.col("qualified_name").alias("root")).agg(F.min(F.struct("visibility", "kind", "annotations")).alias("m"))
     got = roots.join(meta, "root", "left")
     for part in (callers, out, up, far):
@@ -81,8 +82,8 @@ def deprecation_radar(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     items = stored(items, "deprecated")
     roots = items.select("root").distinct()
     callers = edges.where("kind = 'CALLS'").select(owner(F.col("target_fqn")).alias("root"), "source_fqn").join(roots, "root", "left_semi").groupBy("root").agg(F.countDistinct("source_fqn").alias("direct_callers"))
-    radius = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.CALLS, True), roots, max_depth=3), blast_radius="node")
-    tests = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.DEPENDS, True), roots, traverse.tests_of(edges)), affected_tests="test")
+    radius = counts.by_kind(counts.reach_counts(traverse.hops(edges, traverse.CALLS, True), roots, max_depth=3), blast_radius="node")
+    tests = counts.by_kind(counts.reach_counts(traverse.hops(edges, traverse.DEPENDS, True), roots, traverse.tests_of(edges)), affected_tests="test")
     got = items.join(callers, "root", "left").join(radius, "root", "left").join(tests, "root", "left").fillna(0, ["direct_callers", "blast_radius", "affected_tests"])
     got = got.withColumn("effort", ids.migration_effort(F.col("kind"), F.col("direct_callers"), F.col("blast_radius"), F.col("affected_tests"), F.col("replacement_hint").isNotNull()))
     return got.select("fqn", "kind", "module", "replacement_hint", "direct_callers", "blast_radius", "affected_tests", "effort", ids.effort_category(F.col("effort")).alias("category"))
@@ -231,7 +232,7 @@ def rag_documents(edges: DataFrame, symbols: DataFrame, depth: int = 3) -> DataF
     calls = edges.where("kind = 'CALLS'").select(owner(F.col("source_fqn")).alias("s"), owner(F.col("target_fqn")).alias("t")).distinct()
     five = lambda c: F.array_join(F.slice(F.array_sort(F.collect_list(c)), 1, 5), ", ")
     low = lambda key, value: calls.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(value))).where("r <= 5").groupBy(F.col(key).alias("root")).agg(five(value).alias(value + "s"))
-    radius = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.CALLS, True), roots, max_depth=depth), radius="node")
+    radius = counts.by_kind(counts.reach_counts(traverse.hops(edges, traverse.CALLS, True), roots, max_depth=depth), radius="node")
     got = symbols.withColumn("root", F.col("qualified_name")).join(low("t", "s"), "root", "left").join(low("s", "t"), "root", "left").join(radius, "root", "left")
     text = F.concat(F.col("kind"), F.lit(" "), F.col("qualified_name"),
                     F.when(F.coalesce("file_path", F.lit("")) != "", F.concat(F.lit(" located in "), "file_path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))).otherwise(""),
@@ -336,7 +337,7 @@ def endpoints(symbols: DataFrame) -> DataFrame:
 def code_lens(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     """fqn, direct_callers (CALLS edges into it) and callers (types that reach it in depth calls) of each root."""
     direct = edges.where("kind = 'CALLS'").groupBy(owner(F.col("target_fqn")).alias("root")).agg(F.count("*").alias("direct_callers"))
-    far = counts.by_kind(counts.reach_counts(traverse.adjacency(edges, traverse.CALLS, True), roots.select(owner(F.col("root")).alias("root")), max_depth=depth), callers="node")
+    far = counts.by_kind(counts.reach_counts(traverse.hops(edges, traverse.CALLS, True), roots.select(owner(F.col("root")).alias("root")), max_depth=depth), callers="node")
     return roots.select("root").distinct().join(direct, "root", "left").join(far, "root", "left").fillna(0, ["direct_callers", "callers"]).withColumnRenamed("root", "fqn")
 
 

@@ -1,13 +1,16 @@
 """How much each of many roots reaches, without a row for each root and node.
 
-Roots are numbered and stand as bits of 64-bit words. Components are condensed to one node each; the words of the roots then pass
-along the edges a hop a round, joined by bit_or, and only bits that a node has not seen go on. A node has a row for 64 roots at
-most, so rows are at most roots times nodes in the worst case of single bits and a 64th of it where roots share what they reach. Counts
-are sums over the bits of a word, 64 at once. Everything is a DataFrame function; rounds are the longest distance between components.
+Components are condensed to one node each, and roots of one component, which reach the same, are one root. Roots are numbered and stand as
+bits of 64-bit words, which pass along the edges a hop a round, joined by bit_or; only bits that a node has not seen go on. Nodes from
+which no edge leads on take no part in the rounds: at the end each gathers the words of the nodes before it, once. A node has a row for 64
+roots at most, so rows are at most roots times nodes in the worst case of single bits and a 64th of it where roots share what they reach.
+Counts are sums over the bits of a word, 64 at once. Everything is a DataFrame function; rounds are the longest distance between components.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +21,37 @@ BITS = 64
 WORDS = "at string, block long, bits long"
 
 
+class Hops(NamedTuple):
+    """Distinct pairs (at, next) by what comes after them; outer has leafy: whether leaves hang on next."""
+
+    inner: DataFrame
+    outer: DataFrame
+
+
+def split(adjacent: DataFrame, leaves: DataFrame | None = None) -> Hops:
+    """adjacent: (at, next), repeated or not. inner are the pairs from whose next others go on, outer the rest. One join by next serves both
+    and makes the pairs distinct; outer pairs, mostly the bulk, are in no component and are not joined in the rounds."""
+    spark, path = adjacent.sparkSession, new_path(adjacent.sparkSession, "hops")
+    pairs = adjacent.select("at", "next").where("at <> next")
+    marks = pairs.select(F.col("at").alias("next"), F.lit(True).alias("inner"), F.lit(False).alias("leafy"))
+    if leaves is not None:
+        marks = marks.unionByName(leaves.select(F.col("node").alias("next"), F.lit(False).alias("inner"), F.lit(True).alias("leafy")))
+    marks = marks.groupBy("next").agg(F.max("inner").alias("inner"), F.max("leafy").alias("leafy"))
+    no = F.lit(False)
+    marked = pairs.join(marks, "next", "left").select("at", "next", F.coalesce("inner", no).alias("inner"), F.coalesce("leafy", no).alias("leafy")).distinct()
+    marked.write.partitionBy("inner").parquet(path)
+    kept = spark.read.schema("at string, next string, leafy boolean, inner boolean").parquet(path)
+    return Hops(kept.where("inner").select("at", "next"), kept.where("not inner").select("at", "next", "leafy"))
+
+
 def numbered(roots: DataFrame) -> DataFrame:
     """(root, id): neighbours by name have ids in a row."""
     return stored(roots.select("root").where("root is not null").distinct().orderBy("root").withColumn("id", F.monotonically_increasing_id()), "root-ids")
 
 
 def _spread(start: DataFrame, pairs: DataFrame, max_depth: int | None) -> DataFrame:
-    """start: at, block, bits. The words of all nodes that the bits come to, a row a round in which new ones came; bits are disjoint."""
+    """start: at, block, bits. (at, block, bits, depth): the words of all nodes that the bits come to, a row a round in which new ones came;
+    bits are disjoint."""
     spark, path, depth = start.sparkSession, new_path(start.sparkSession, "words"), 0
     pairs = pairs.repartition("at").persist()
     more = counted(start, f"{path}/depth=0")
@@ -36,7 +63,7 @@ def _spread(start: DataFrame, pairs: DataFrame, max_depth: int | None) -> DataFr
         depth += 1
         more = counted(new.select("at", "block", "bits"), f"{path}/depth={depth}")
     pairs.unpersist()
-    return spark.read.schema(WORDS).option("recursiveFileLookup", "true").parquet(path)
+    return spark.read.schema(f"{WORDS}, depth int").parquet(path)
 
 
 def _bit_sums(words: DataFrame) -> DataFrame:
@@ -56,30 +83,40 @@ def components(adjacent: DataFrame, wider: DataFrame | None = None) -> DataFrame
     return stored(traverse.strongly_connected(pairs).select("node", "component", "size"), "components")
 
 
-def reach_counts(adjacent: DataFrame, roots: DataFrame, leaves: DataFrame | None = None, max_depth: int | None = None, of: DataFrame | None = None) -> DataFrame:
+def reach_counts(adjacent: DataFrame | Hops, roots: DataFrame, leaves: DataFrame | None = None, max_depth: int | None = None, of: DataFrame | None = None) -> DataFrame:
     """(root, kind, n) for n over 0: kind 'node' counts the other nodes that a root reaches along adjacent (at, next), in max_depth hops at
     most. leaves: (node, kind, leaf), more that hangs on nodes; a kind counts the distinct leaves of the root and what it reaches.
-    of: components() of adjacent, where they are known."""
-    ids = numbered(roots)
-    pairs = adjacent.where("at <> next").distinct()
+    adjacent may be split() already, with the same leaves. of: components() of its inner pairs, where they are known."""
+    inner, outer = adjacent if isinstance(adjacent, Hops) else split(adjacent, leaves)
+    roots, one = roots.select("root").where("root is not null").distinct(), F.lit(1).cast("long")
     if max_depth is None:
-        pairs = stored(pairs, "pairs")
-        of = components(pairs) if of is None else of
+        of = components(inner) if of is None else of
         named = lambda rows, c: rows.join(of.select(F.col("node").alias(c), F.col("component").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
-        pairs = named(named(pairs, "at"), "next").where("at <> next").distinct()
+        inner = named(named(inner, "at"), "next").where("at <> next").distinct()
         sizes = of.select(F.col("component").alias("at"), "size").distinct()
     else:
         named, sizes = (lambda rows, c: rows), None
+    placed = stored(named(roots.withColumn("at", F.col("root")), "at"), "placed-roots")
+    ids = numbered(placed.select(F.col("at").alias("root"))).withColumnRenamed("root", "at")
     bit = F.expr(f"shiftleft(1L, cast(id % {BITS} AS int))")
-    start = named(ids.withColumnRenamed("root", "at"), "at").groupBy("at", F.expr(f"id div {BITS}").alias("block")).agg(F.bit_or(bit).alias("bits"))
-    words = _spread(start, pairs, max_depth)
-    weighed = words.withColumn("weight", F.lit(1).cast("long")) if sizes is None else words.join(sizes, "at", "left").withColumn("weight", F.coalesce("size", F.lit(1).cast("long")))
-    every = weighed.select(F.lit("node").alias("kind"), "block", "bits", "weight")
+    start = ids.groupBy("at", F.expr(f"id div {BITS}").alias("block")).agg(F.bit_or(bit).alias("bits"))
+    words = _spread(start, inner, max_depth)
+    passing = words if max_depth is None else words.where(F.col("depth") < max_depth)
+    weighed = words.withColumn("weight", one) if sizes is None else words.join(sizes, "at", "left").withColumn("weight", F.coalesce("size", one))
+    # a node's words travel to what comes after it as one row
+    packed = passing.groupBy("at").agg(F.collect_list(F.struct("block", "bits")).alias("words"))
+    if max_depth is None:
+        inside = of.select(F.col("node"), F.col("component").alias("at")).join(packed, "at").select(F.col("node").alias("at"), "words")
+        packed = packed.join(of.select(F.col("node").alias("at")), "at", "left_anti").unionByName(inside)
+    last = outer.join(packed, "at").select("next", "words").repartition("next").select("next", F.inline("words")).groupBy("next", "block").agg(F.bit_or("bits").alias("bits"))
+    every = weighed.select(F.lit("node").alias("kind"), "block", "bits", "weight").unionByName(last.select(F.lit("node").alias("kind"), "block", "bits", one.alias("weight")))
     if leaves is not None:
-        hung = named(leaves.select(F.col("node").alias("at"), "kind", "leaf"), "at").distinct()
-        met = words.join(hung, "at").groupBy("kind", "leaf", "block").agg(F.bit_or("bits").alias("bits"))
-        every = every.unionByName(met.select("kind", "block", "bits", F.lit(1).cast("long").alias("weight")))
-    found = _bit_sums(every).join(ids, "id").withColumn("n", F.when(F.col("kind") == "node", F.col("n") - 1).otherwise(F.col("n")))
+        hung = leaves.select(F.col("node").alias("at"), "kind", "leaf")
+        after = outer.where("leafy").join(hung.withColumnRenamed("at", "next"), "next").select("at", "kind", "leaf")
+        met = [of_words.join(named(on, "at").distinct(), "at").select("kind", "leaf", "block", "bits") for of_words, on in ((words, hung), (passing, after))]
+        met = met[0].unionByName(met[1]).groupBy("kind", "leaf", "block").agg(F.bit_or("bits").alias("bits"))
+        every = every.unionByName(met.select("kind", "block", "bits", one.alias("weight")))
+    found = _bit_sums(every).join(ids, "id").join(placed, "at").withColumn("n", F.when(F.col("kind") == "node", F.col("n") - 1).otherwise(F.col("n")))
     return found.where("n > 0").select("root", "kind", "n")
 
 

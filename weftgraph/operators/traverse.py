@@ -25,11 +25,16 @@ def of_kinds(edges: DataFrame, kinds) -> DataFrame:
     return edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
 
 
-def adjacency(edges: DataFrame, kinds, incoming: bool) -> DataFrame:
-    """Distinct (at, next) owners: from a node to its sources (incoming) or targets."""
+def hops(edges: DataFrame, kinds, incoming: bool) -> DataFrame:
+    """(at, next) owners: from a node to its sources (incoming) or targets; a pair as often as edges have it."""
     s, t = owner(F.col("source_fqn")), owner(F.col("target_fqn"))
     at, then = (t, s) if incoming else (s, t)
-    return of_kinds(edges, kinds).select(at.alias("at"), then.alias("next")).where("at <> next").distinct()
+    return of_kinds(edges, kinds).select(at.alias("at"), then.alias("next")).where("at <> next")
+
+
+def adjacency(edges: DataFrame, kinds, incoming: bool) -> DataFrame:
+    """hops(), each once."""
+    return hops(edges, kinds, incoming).distinct()
 
 
 def reach(edges: DataFrame, roots: DataFrame, kinds=CALLS, incoming: bool = True, max_depth: int | None = None,
