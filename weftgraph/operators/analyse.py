@@ -209,14 +209,33 @@ def evaluate(edges: DataFrame, expectations: DataFrame) -> DataFrame:
 
 
 def federation_links(endpoints: DataFrame) -> DataFrame:
-    """Each client endpoint with its first matching controller of another repo: by service first, then any; order by repo, symbol."""
+    """Each client endpoint with its first matching controller of another repo: by service first, then any; order by repo, symbol.
+
+    Clients and controllers never meet as rows. Controllers of a verb, path and key (each stretch of their service's and repo's names; none for any
+    service) are kept as the first symbol of the first two repos, of which one is not the client's own; clients ask by distinct keys."""
     e = endpoints.select("*", F.lower("http_method").alias("m"), ids.normal_path(F.col("path")).alias("p"), ids.service_key(F.col("service_name")).alias("s"), ids.service_key(F.col("repo_name")).alias("r"))
     full = F.concat_ws("#", "declaring_fqn", "member_name")
     client = e.where("is_client").select(F.col("repo_name").alias("client_repo"), full.alias("client_fqn"), "http_method", "path", "m", "p", F.col("s").alias("want"))
-    control = e.where("not is_client").select(F.col("repo_name").alias("target_repo"), full.alias("target_fqn"), "m", "p", "s", "r")
-    met = client.join(control, ["m", "p"]).where("client_repo <> target_repo").withColumn("tier", F.when((F.col("want") == F.col("s")) | (F.col("want") == F.col("r")) | F.col("s").contains(F.col("want")) | F.col("r").contains(F.col("want")), 0).otherwise(1))
-    best = met.groupBy("client_repo", "client_fqn", "http_method", "path").agg(F.min(F.struct("tier", "target_repo", "target_fqn")).alias("b"))
-    return best.select("client_repo", "client_fqn", F.col("b.target_repo").alias("target_repo"), F.col("b.target_fqn").alias("target_fqn"), "http_method", "path")
+    control = e.where("not is_client").groupBy("m", "p", "s", "r", F.col("repo_name").alias("target_repo")).agg(F.min(full).alias("target_fqn")).where("target_repo is not null")
+    asked = stored(client.select("m", "p", "client_repo", "want").distinct(), "asked")
+
+    def stretches(c):
+        starts = F.sequence(F.lit(1), F.length(c))
+        return F.when(F.length(c) > 0, F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n)))))
+
+    none = F.array().cast("array<string>")
+    keys = F.array_distinct(F.concat(F.when(F.coalesce("s", "r").isNotNull(), F.array(F.lit(""))).otherwise(none), F.coalesce(stretches(F.col("s")), none), F.coalesce(stretches(F.col("r")), none)))
+    named = control.select("m", "p", "target_repo", "target_fqn", F.explode(keys).alias("want")).join(asked.select("want").distinct(), "want", "left_semi")
+    found = None
+    for tier, rows, by in ((0, named, ["m", "p", "want"]), (1, control, ["m", "p"])):
+        of_repo = rows.groupBy(*by, "target_repo").agg(F.min("target_fqn").alias("target_fqn"))
+        first = of_repo.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("target_repo"))).where("i <= 2").drop("i")
+        met = asked.join(first, by).where("client_repo <> target_repo").select("m", "p", "client_repo", "want", F.struct(F.lit(tier).alias("tier"), "target_repo", "target_fqn").alias("b"))
+        found = met if found is None else found.unionByName(met)
+    best = found.groupBy("m", "p", "client_repo", "want").agg(F.min("b").alias("b")).withColumnsRenamed({c: f"_{c}" for c in ("m", "p", "client_repo", "want")})
+    same = (F.col("m") == F.col("_m")) & (F.col("p") == F.col("_p")) & (F.col("client_repo") == F.col("_client_repo")) & F.col("want").eqNullSafe(F.col("_want"))
+    each = client.join(best, same).groupBy("client_repo", "client_fqn", "http_method", "path").agg(F.min("b").alias("b"))
+    return each.select("client_repo", "client_fqn", F.col("b.target_repo").alias("target_repo"), F.col("b.target_fqn").alias("target_fqn"), "http_method", "path")
 
 
 def federation_radius(links: DataFrame, edges: DataFrame) -> DataFrame:
