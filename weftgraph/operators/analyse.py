@@ -9,6 +9,7 @@ from weftgraph.functions import ids
 from weftgraph.functions.ids import owner, package, test_like
 from weftgraph.operators import counts, traverse
 from weftgraph.plans.scratch import stored
+from weftgraph.sources.derived import spread
 
 # Annotation names with a meaning, weights and thresholds.
 DB_ANNOTATIONS = ("Entity", "Table", "Repository", "Document", "Mapper", "Transactional", "JdbcRepository", "CrudRepository", "JpaRepository")
@@ -267,11 +268,15 @@ def hash_embedding(texts: DataFrame, dims: int = 64) -> DataFrame:
     names = F.filter(F.split(F.lower("fqn"), "[^a-z0-9_]+"), lambda w: w != "")
     grams = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
     weigh = lambda a, x: F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(float(x)).alias("x")))
-    parts = texts.select("fqn", F.explode(F.concat(weigh(words, 1), weigh(grams, .5), weigh(names, 2))).alias("p")).select("fqn", ids.java_hash(F.col("p.w")).alias("h"), "p.x")
-    cells = parts.groupBy("fqn", (F.abs("h") % dims).cast("int").alias("d")).agg(F.sum(F.when(F.col("h") >= 0, F.col("x")).otherwise(-F.col("x"))).alias("v"))
-    per = cells.groupBy("fqn").agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0).cast("float"))
-    return texts.join(per, "fqn", "left").select("fqn", F.coalesce(F.when(F.col("m").isNotNull(), vector), F.array_repeat(F.lit(0.0).cast("float"), dims)).alias("embedding"))
+    # made per row, without groups; the sums are of halves, so their order is of no account
+    parts = F.transform(F.concat(weigh(words, 1), weigh(grams, .5), weigh(names, 2)), lambda p: F.struct(ids.java_hash(p["w"]).alias("h"), p["x"].alias("x")))
+    signed = F.transform(parts, lambda p: F.struct((F.abs(p["h"]) % dims).cast("int").alias("d"), F.when(p["h"] >= 0, p["x"]).otherwise(-p["x"]).alias("x")))
+    total = lambda values, f: F.aggregate(values, F.lit(0.0), lambda s, x: s + f(x))
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  a lambda's variable is not computed again where it is used
+    sums = once(signed, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: total(ps, lambda p: F.when(p["d"] == i, p["x"]).otherwise(0.0))))
+    unit = lambda v, norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    vector = once(sums, lambda v: once(F.sqrt(total(v, lambda x: x * x)), lambda norm: unit(v, norm)))
+    return spread(texts, "fqn").select("fqn", F.coalesce(vector, F.array_repeat(F.lit(0.0).cast("float"), dims)).alias("embedding"))
 
 
 def nearest(vectors: DataFrame, query: DataFrame, top: int = 10) -> DataFrame:
