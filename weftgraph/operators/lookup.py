@@ -178,8 +178,9 @@ def evaluation_summary(cases: DataFrame) -> DataFrame:
 def cache_hits(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """(key, classpath) of cache rows that are still good: the same key and the same hash of the build files.
 
-    wanted and cache: key, build_hash; cache: classpath, null or empty where it could not be read (a miss)."""
-    good = cache.where("classpath is not null and classpath <> ''")
+    wanted and cache: key, build_hash; cache: classpath, null or empty where it could not be read (a miss). Hashes are longer than what they are
+    made of, so sizes of files say too little: the join is by sorted keys, neither side goes through the driver."""
+    good = cache.where("classpath is not null and classpath <> ''").hint("merge")
     return wanted.select("key", "build_hash").join(good, ["key", "build_hash"]).select("key", "classpath").distinct()
 
 
