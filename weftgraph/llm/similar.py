@@ -13,12 +13,15 @@ keys to probe. A text files its part keys under its own length step and the next
 pair the longer text (or either) meets the other. Keys with over ``block`` filed texts are split by salt, probes going to
 each salt; a task holds one such block and a bounded run of probes.
 
-Passes keep groups of near copies from making all their pairs. In the first each text passes on its ``NEAREST`` candidate of a
+Two passes keep groups of near copies from making all their pairs. In the first each text passes on its ``NEAREST`` candidate of a
 block by differing bits, so variants of a text meet that text rather than one another. The pairs of these that hold up give
-components. In the next the ``BETWEEN`` nearest pairs of each two components that have candidates are passed on by a block
-and run of probes, so every pair of single texts that are candidates is compared. ``FURTHER`` such passes follow, or fewer if one adds no link. Copies and near copies thus cost work in proportion; texts that are candidates without being alike, and what
+components. The second passes on every pair of candidates from different components, so the components are those that all candidate pairs
+give. Copies and near copies that are alike thus cost work in proportion; texts that are candidates without being alike, and what
 is compared at one key, still grow with the square of their number. Probes cost about as much as ``PROBE_COST`` candidates.
 
+Pairs are ruled out by maps of 256 bits before their sets are joined: a text lacks as many shingles of another, at least, as the other's map has
+bits that its own has not.
+
 Texts are nodes by their 64-bit hash, so copies share one. Texts without words are alike. Nulls, repeated rows and further
 columns: as in ``simhash``. Empty table: no rows.
 """
@@ -39,12 +42,12 @@ STEP = 1.26
 #: Share of all texts that one length step and its neighbour hold, for the estimates alone.
 WINDOW = 0.15
 PROBE_COST = 1000
-#: Candidates of a text (first pass) or of two components (further passes) that a block passes on.
-NEAREST, BETWEEN = 1, 3
-#: Passes over components after the first pass; fewer if one adds no link.
-FURTHER = 1
+#: Candidates of a text that a block passes on in the first pass; the second passes on all between components.
+NEAREST = 1
+#: Longs of a text's map of shingles.
+MAPS = ["m0", "m1", "m2", "m3"]
 FILED = "key long, node long, root long, fp long, fp2 long"
-ROWS = "doc_id long, node long, fp long, fp2 long, n long, shingles binary"
+ROWS = "doc_id long, node long, fp long, fp2 long, n long, " + ", ".join(f"{m} long" for m in MAPS) + ", shingles binary"
 
 
 def two_words(text: str, words_per_shingle: int):
@@ -58,6 +61,15 @@ def two_words(text: str, words_per_shingle: int):
     return majority(h), second, np.unique(h.astype("<u4"))
 
 
+def bit_map(shingles):
+    """The bits that 32-bit hashes set, as MAPS longs."""
+    import numpy as np
+
+    bits = np.zeros(64 * len(MAPS), np.uint8)
+    bits[shingles.astype(np.uint64) * np.uint64(len(bits)) >> np.uint64(32)] = 1
+    return np.packbits(bits).view("<i8")
+
+
 def jaccard(x, y) -> float:
     """Of two sorted arrays without repeats; 1 where both are empty."""
     import numpy as np
@@ -74,15 +86,15 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: f
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64()] * 3 + [pa.binary()]
+        kinds = [pa.int64()] * (3 + len(MAPS)) + [pa.binary()]
         for b in batches:
-            made = [(f, g, len(x), x.tobytes()) for f, g, x in (two_words(t, words_per_shingle) for t in b.column(1).to_pylist())]
-            cols = list(zip(*made)) or [()] * 4
+            made = [(f, g, len(x), *bit_map(x).tolist(), x.tobytes()) for f, g, x in (two_words(t, words_per_shingle) for t in b.column(1).to_pylist())]
+            cols = list(zip(*made)) or [()] * len(kinds)
             yield pa.record_batch([b.column(0), b.column(2), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[x.split()[0] for x in ROWS.split(", ")])
 
     texts = narrow(docs, "text").withColumn("node", F.xxhash64("text"))
     rows = materialize(texts.mapInArrow(run, ROWS), "similar-rows")
-    firsts = [F.first(c).alias(c) for c in ("fp", "fp2", "n")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "fp2", "n", *MAPS)]
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *firsts), "similar-nodes")
     search = Search(nodes, max_distance, max_both, parts, block)
     ids = rows.select("doc_id", "node", "fp")
@@ -91,11 +103,9 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: f
     alone = nodes.select("node", F.col("node").alias("root"), "fp", "fp2", "n")
     links = verified(search.candidates(alone, True), nodes, rows, similarity)
     roots = materialize(connected_components(links), "similar-roots")
-    for _ in range(FURTHER):
-        grouped = alone.drop("root").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp", "fp2", "n")
-        more = verified(search.candidates(materialize(grouped, "similar-grouped"), False), nodes, rows, similarity)
-        if more.isEmpty():
-            break
+    grouped = alone.drop("root").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp", "fp2", "n")
+    more = verified(search.candidates(materialize(grouped, "similar-grouped"), False), nodes, rows, similarity)
+    if not more.isEmpty():
         links = materialize(links.unionByName(more), "similar-all-links")
         release(roots, more)
         roots = materialize(connected_components(links), "similar-roots")
@@ -108,7 +118,12 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: f
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets are alike. rows: as similar_documents() makes them, several a node."""
-    pairs = materialize(pairs.distinct(), "similar-pairs")
+    pairs = pairs.distinct()
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", *MAPS)]), c)
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(f"{y}_{m}"))) for m in MAPS)
+    common = F.least(F.col("a_n") - lacks("a", "b"), F.col("b_n") - lacks("b", "a"))
+    pairs = materialize(pairs.where(common * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n")) - 1e-6).select("a", "b"), "similar-pairs")
     own = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
     own = own.select(F.col("node").alias("own"), "first_id")
     same = (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
@@ -152,7 +167,7 @@ class Search:
 
     def candidates(self, nodes: DataFrame, first: bool) -> DataFrame:
         """Pairs (a, b). nodes: node, root, fp, fp2, n; only nodes of different roots meet. first: the nearest pairs a node and
-        block are passed on, else those a pair of roots, block and run of probes."""
+        block are passed on, else all."""
         spread = partitions(nodes.sparkSession)
         cols = nodes.select("node", "root", "fp", "fp2", "n")
         filed = cols.mapInArrow(_index_rows(self.groups), FILED)
@@ -286,13 +301,10 @@ def _pairs(filed, probes, max_distance: int, max_both: int, first: bool):
     if not len(j):
         return node[:0], p_node[:0]
     if first:
-        group = [j]
-    else:
-        group = [np.minimum(root[i], p_root[j]), np.maximum(root[i], p_root[j])]
-    order = np.lexsort((p_node[j], node[i], far, *group))
-    i, j, group = i[order], j[order], [g[order] for g in group]
-    opens = np.concatenate(([True], np.any([g[1:] != g[:-1] for g in group], axis=0)))
-    start = np.maximum.accumulate(np.where(opens, np.arange(len(j)), 0))
-    keep = np.arange(len(j)) - start < (NEAREST if first else BETWEEN)
-    a, b = node[i[keep]], p_node[j[keep]]
+        order = np.lexsort((p_node[j], node[i], far, j))
+        i, j = i[order], j[order]
+        start = np.maximum.accumulate(np.where(np.concatenate(([True], j[1:] != j[:-1])), np.arange(len(j)), 0))
+        keep = np.arange(len(j)) - start < NEAREST
+        i, j = i[keep], j[keep]
+    a, b = node[i], p_node[j]
     return np.minimum(a, b), np.maximum(a, b)
