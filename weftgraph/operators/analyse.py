@@ -292,32 +292,47 @@ LEVELS = 32
 
 
 def line_ranges(symbols: DataFrame) -> DataFrame:
-    """An index of (file_path, level, bin) over symbols' line ranges: a range is filed at the level whose bins are as long as it or
-    longer, so in two bins at most, however many lines it has. Ranges that end before they begin are left out."""
-    first, last = F.col("line_start"), F.col("line_end")
-    level = F.ceil(F.log2((last - first + 1).cast("double"))).cast("int")
+    """Pieces of symbols' line ranges in an index of (file_path, level, bin): part, the least or greatest line that the piece reaches in
+    its bin, and the range.
+
+    A range of more than 2^level and at most 2^(level + 1) lines is cut at the borders of the bins of 2^level lines, three at most, so each piece goes on
+    to the end of its bin (part 'from') or begins at or before its start (part 'to'). Ranges of one line are 'to' pieces of level 0. Ranges that end before
+    they begin are left out."""
+    first, last = F.col("line_start").cast("long"), F.col("line_end").cast("long")
+    level = F.greatest(F.lit(0), F.ceil(F.log2((last - first + 1).cast("double"))).cast("int") - 1)
     filed = symbols.where("line_end >= line_start").withColumn("level", level)
-    at = lambda line: F.expr(f"shiftright(cast({line} AS long), level)")
-    return filed.withColumn("bin", F.explode(F.array_distinct(F.array(at("line_start"), at("line_end")))))
+    filed = filed.withColumn("low", F.expr("shiftright(cast(line_start AS long), level)")).withColumn("high", F.expr("shiftright(cast(line_end AS long), level)"))
+    piece = filed.withColumn("bin", F.explode(F.sequence("low", "high")))
+    to = (F.col("bin") > F.col("low")) | (F.col("low") == F.col("high"))
+    return piece.withColumn("part", F.when(to, "to").otherwise("from")).withColumn("at", F.when(to, F.least(F.col("line_end").cast("long"), F.expr("shiftleft(bin + 1, level) - 1"))).otherwise(F.col("line_start").cast("long")))
 
 
 def symbol_at_line(symbols: DataFrame, positions: DataFrame, innermost: bool = False) -> DataFrame:
     """positions: file_path, line. The first symbol that spans the line (innermost: the one that starts last, then ends first), else the
     one that starts nearest. By name among equals.
 
-    A position asks the index one bin a level, so it meets the ranges about it and not all of its file. For the nearest starts a file's
-    starts and positions are sorted together; a position then takes the last start before it and the first one after it."""
+    Positions and ranges never meet as pairs: in a bin of line_ranges() both are sorted by line, and a position takes the best 'from' piece at or
+    before it and the best 'to' piece at or after it, one bin a level. Of pieces that reach the same line the best one is kept. For the nearest
+    starts a file's starts and positions are sorted together; a position then takes the last start before it and the first one after it."""
     asked = positions.select("file_path", "line").distinct()
     probes = asked.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(LEVELS)]))).withColumn("bin", F.expr("shiftright(cast(line AS long), level)"))
-    ranges = line_ranges(symbols.select("file_path", "qualified_name", "line_start", "line_end"))
-    met = probes.join(ranges, ["file_path", "level", "bin"]).where("line between line_start and line_end")
     order = (-F.col("line_start"), F.col("line_end")) if innermost else (F.col("line_start"),)
-    inside = met.groupBy("file_path", "line").agg(F.min(F.struct(*order, F.col("qualified_name").alias("q"))).alias("b")).select("file_path", "line", F.col("b.q").alias("symbol"))
+    pieces = line_ranges(symbols.select("file_path", "qualified_name", "line_start", "line_end"))
+    rank = F.struct(*[o.cast("long").alias(f"o{i}") for i, o in enumerate(order)], F.col("qualified_name").alias("q"))
+    best = lambda part: F.min(F.when(F.col("part") == part, rank)).alias(part)
+    kept = pieces.groupBy("file_path", "level", "bin", F.col("at").alias("line")).agg(best("from"), best("to"))
+    both = kept.unionByName(probes.withColumn("line", F.col("line").cast("long")).withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    # two windows that grow from either end: one that shrinks would be computed anew at every row
+    bin_of = Window.partitionBy("file_path", "level", "bin")
+    up, down = (bin_of.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("line"), F.desc("line")))
+    met = both.withColumn("f", F.min("from").over(up)).withColumn("t", F.min("to").over(down)).where("asked")
+    met = met.groupBy("file_path", F.col("line").cast(asked.schema["line"].dataType).alias("line")).agg(F.min(F.least("f", "t")).alias("b")).where("b is not null")
+    inside = stored(met.select("file_path", "line", F.col("b.q").alias("symbol")), "symbols-inside")
     rest = asked.join(inside, ["file_path", "line"], "left_anti")
     starts = symbols.groupBy("file_path", F.col("line_start").alias("line")).agg(F.min("qualified_name").alias("q")).join(rest.select("file_path").distinct(), "file_path", "left_semi")
     both = starts.withColumn("start", F.struct("line", "q")).select("file_path", "line", "start").unionByName(rest, allowMissingColumns=True)
-    sorted_by = Window.partitionBy("file_path").orderBy("line")
-    near = both.withColumn("low", F.last("start", True).over(sorted_by.rangeBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first("start", True).over(sorted_by.rangeBetween(0, Window.unboundedFollowing))).where("start is null")
+    up, down = (Window.partitionBy("file_path").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("line"), F.desc("line")))
+    near = both.withColumn("low", F.last("start", True).over(up)).withColumn("high", F.last("start", True).over(down)).where("start is null")
     far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.line") - F.col("line")).alias("d"), F.col(f"{c}.q").alias("q")))
     best = near.withColumn("b", F.least(far("low"), far("high"))).where("b is not null").select("file_path", "line", F.col("b.q").alias("symbol"))
     return inside.unionByName(best)
