@@ -174,15 +174,19 @@ def flows(edges: DataFrame, symbols: DataFrame, max_depth: int = 6, per_entry: i
     types = symbols.select(F.col("qualified_name").alias("fqn")).distinct()
     entry = symbols.where(overlap(F.col("annotations"), FLOW_ANNOTATIONS)).select(F.col("qualified_name").alias("entry")).distinct()
     hop = edges.where("kind in ('CALLS', 'USES')").select(owner(F.col("source_fqn")).alias("at"), owner(F.col("target_fqn")).alias("next"), "kind", "confidence")
+    # only entries and what a hop leads to are ever walked from
+    from_here = hop.select(F.col("next").alias("at")).unionByName(entry.select(F.col("entry").alias("at"))).distinct()
+    hop = hop.join(from_here, "at", "left_semi")
     hop = hop.groupBy("at", "next").agg(F.bool_or(F.col("kind") == "CALLS").alias("call"), F.bool_and(F.col("confidence") == "POSSIBLE").alias("possible"))
+    hop = stored(hop.join(types.select(F.col("fqn").alias("next"), F.lit(1).alias("known")), "next", "left"), "flow-hops")
     calling = hop.where("call").select(F.col("at").alias("entry")).distinct()
     entry = entry.join(calling.withColumn("calls", F.lit(True)), "entry", "left")
-    hop = hop.join(types.select(F.col("fqn").alias("next"), F.lit(1).alias("known")), "next", "left")
     walks = entry.select("entry", F.col("calls").isNotNull().alias("only_calls"), F.array("entry").alias("path"), F.lit(None).cast("int").alias("possible_at"), F.lit(False).alias("ended"))
     done = None
     best = Window.partitionBy("entry").orderBy(F.desc_nulls_last("known"), "path")
     for depth in range(1, max_depth):
         step = walks.join(hop, (F.element_at("path", -1) == F.col("at")) & (~F.col("only_calls") | F.col("call")) & ~F.array_contains("path", F.col("next")), "left")
+        step = stored(step.select("entry", "only_calls", "path", "possible_at", "next", "known", "possible"), "flow-steps")
         ended = step.where("next is null and size(path) > 1").select("entry", "path", "possible_at")
         done = ended if done is None else done.unionByName(ended)
         step = step.where("next is not null").select("entry", "only_calls", "known", F.array_append("path", F.col("next")).alias("path"), F.coalesce("possible_at", F.when(F.col("possible"), F.lit(depth))).alias("possible_at"))
