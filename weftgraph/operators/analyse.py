@@ -95,15 +95,21 @@ def rule_violations(edges: DataFrame, symbols: DataFrame, rules: list[dict], che
 
     The rules are a list in a file, so they become one predicate over edges joined with both types."""
     types = symbols.where("kind not in ('METHOD', 'FIELD')").groupBy(F.col("qualified_name").alias("fqn")).agg(F.max(F.struct("module", "line_start", "annotations")).alias("t")).select("fqn", F.col("t.annotations").alias("notes"))
+    def named(stereotype, fqn):
+        names, pattern = stereotype.get("annotations") or (), stereotype.get("pattern")
+        if not names and not pattern:
+            return F.lit(False)
+        return F.col(fqn).rlike(pattern) | ids.simple_name(F.col(fqn)).rlike(f"^(?:{pattern})$") if pattern else F.lit(True)
+
     own = edges.select(owner(F.col("source_fqn")).alias("source"), owner(F.col("target_fqn")).alias("target"), "kind", "line").where("source <> target")
+    # what no rule's kinds and names allow goes before the joins, and a pair goes through them once
+    may = [F.col("kind").isin(*(r.get("kinds") or ("CALLS", "USES"))) & named(r["source"], "source") & named(r["target"], "target") for r in rules]
+    own = own.where(F.array_contains(F.array(F.lit(False), *may), True)).groupBy("source", "target", "kind").agg(F.min("line").alias("line"))
     met = own.join(types.select(F.col("fqn").alias("source"), F.col("notes").alias("s_notes")), "source").join(types.select(F.col("fqn").alias("target"), F.col("notes").alias("t_notes")), "target")
 
     def fits(stereotype, notes, fqn):
-        names, pattern = stereotype.get("annotations") or (), stereotype.get("pattern")
-        if not names and not pattern:
-            return F.lit(False)
-        ok = overlap(F.col(notes), names) if names else F.lit(True)
-        return ok & (F.col(fqn).rlike(pattern) | ids.simple_name(F.col(fqn)).rlike(f"^(?:{pattern})$") if pattern else F.lit(True))
+        names = stereotype.get("annotations") or ()
+        return (overlap(F.col(notes), names) if names else F.lit(True)) & named(stereotype, fqn)
 
     hits = F.array_compact(F.array(*[F.when(F.col("kind").isin(*(r.get("kinds") or ("CALLS", "USES"))) & fits(r["source"], "s_notes", "source") & fits(r["target"], "t_notes", "target"), F.lit(r["name"])) for r in rules]))
     found = met.select(F.explode(hits).alias("rule"), "source", "target", "kind", "line").groupBy("rule", "source", "target").agg(F.min("line").alias("line"))
