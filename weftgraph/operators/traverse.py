@@ -17,6 +17,8 @@ from weftgraph.plans.scratch import counted, new_path, stored, stored_with
 CALLS = ("CALLS",)
 #: Kinds that make a type depend on another.
 DEPENDS = ("CALLS", "USES", "EXTENDS", "IMPLEMENTS")
+#: From so many rows seen on, and with a frontier of less than one in FEW of them, a single root's edges to nodes seen are dropped.
+MANY, FEW = 100_000, 10
 CONFIDENCE_RANK = {"POSSIBLE": 0, "CONFIRMED": 1}
 
 
@@ -33,8 +35,8 @@ def hops(edges: DataFrame, kinds, incoming: bool) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, kinds, incoming: bool) -> DataFrame:
-    """hops(), each once."""
-    return hops(edges, kinds, incoming).distinct()
+    """hops(), each once, dealt by at: equal pairs meet there, so one shuffle does both."""
+    return hops(edges, kinds, incoming).repartition("at").distinct()
 
 
 def reach(edges: DataFrame, roots: DataFrame, kinds=CALLS, incoming: bool = True, max_depth: int | None = None,
@@ -46,16 +48,25 @@ def reach(edges: DataFrame, roots: DataFrame, kinds=CALLS, incoming: bool = True
     spark = edges.sparkSession
     if max_depth is not None and max_depth < 1:
         return spark.createDataFrame([], "root string, node string, depth int")
-    adj = adjacent if adjacent is not None else adjacency(edges, kinds, incoming).repartition("at").persist()
+    adj = adjacent if adjacent is not None else adjacency(edges, kinds, incoming).persist()
     path, depth, pairs = new_path(spark, "reach"), 0, "root string, node string"
+    left, since = adj, 0
     start = roots.select(owner(F.col("root")).alias("root")).distinct()
-    more = counted(start.select("root", F.col("root").alias("node")), f"{path}/depth=0")
+    roots_n = total = more = counted(start.select("root", F.col("root").alias("node")), f"{path}/depth=0")
     while more and (max_depth is None or depth < max_depth):
         level = spark.read.schema(pairs).parquet(f"{path}/depth={depth}")
-        met = level.join(adj, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct()
-        seen = spark.read.schema(pairs).option("recursiveFileLookup", "true").parquet(path)
+        if not since and roots_n == 1 and total > MANY and more * FEW < total:
+            seen = spark.read.schema(pairs).option("recursiveFileLookup", "true").parquet(path)
+            left = adj.join(seen.select(F.col("node").alias("next")), "next", "left_anti").select("at", "next").repartition("at").persist()
+            since = depth + 1
+        met = level.join(left, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct()
+        known = [f"{path}/depth={d}" for d in range(since, depth + 1)]
         depth += 1
-        more = counted(met.join(seen, ["root", "node"], "left_anti"), f"{path}/depth={depth}")
+        fresh = met.join(spark.read.schema(pairs).parquet(*known), ["root", "node"], "left_anti") if known else met
+        more = counted(fresh, f"{path}/depth={depth}")
+        total += more
+    if left is not adj:
+        left.unpersist()
     if adjacent is None:
         adj.unpersist()
     return spark.read.schema(f"{pairs}, depth int").parquet(path).where("depth > 0")
