@@ -23,8 +23,16 @@ def overlap(annotations, names):
     return F.coalesce(F.arrays_overlap(annotations, F.array(*[F.lit(n) for n in names])), F.lit(False))
 
 
-def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, violating: DataFrame | None = None) -> DataFrame:
-    """One row per root (column root): the six signals, score, level, and the radius counts. violating: owners (column fqn) that break a rule."""
+def _dependents(edges: DataFrame) -> tuple:
+    """(hops to dependents, their components, tests that hang on types)."""
+    tests = traverse.tests_of(edges)
+    depending = counts.split(traverse.hops(edges, traverse.DEPENDS, True), tests)
+    return depending, counts.components(depending.inner), tests
+
+
+def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, violating: DataFrame | None = None, dependents: tuple | None = None) -> DataFrame:
+    """One row per root (column root): the six signals, score, level, and the radius counts. violating: owners (column fqn) that break a rule; dependents: those
+    of the edges, where they are made already."""
     roots = stored(roots.select(owner(F.col("root")).alias("root")).distinct(), "impact-roots")
     calls = edges.where("kind = 'CALLS'")
     label = ids.caller_label(F.col("source_fqn"), F.col("caller_member"))
@@ -35,9 +43,8 @@ def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, violating: Da
     out = calls.select(owner(F.col("source_fqn")).alias("root"), F.col("target_fqn").contains("reflect").alias("r")).join(roots, "root", "left_semi").groupBy("root").agg(F.count("*").alias("fan_out"), F.bool_or("r").alias("reflects"))
     types = symbols.where("kind not in ('METHOD', 'FIELD')")
     modules = types.groupBy(F.col("qualified_name").alias("node")).agg(F.max("module").alias("leaf")).where("leaf is not null").withColumn("kind", F.lit("module"))
-    tests = traverse.tests_of(edges)
-    calling, depending = counts.split(traverse.hops(edges, traverse.CALLS, True), modules), counts.split(traverse.hops(edges, traverse.DEPENDS, True), tests)
-    wide = counts.components(depending.inner)
+    calling = counts.split(traverse.hops(edges, traverse.CALLS, True), modules)
+    depending, wide, tests = dependents or _dependents(edges)
     up = counts.by_kind(counts.reach_counts(calling, roots, modules, of=counts.components(calling.inner, wide)), transitive_callers="node", affected_modules="module")
     far = counts.by_kind(counts.reach_counts(depending, roots, tests, of=wide), dependents="node", affected_tests="test")
     meta = symbols.groupBy(F.col("qualified_name").alias("root")).agg(F.min(F.struct("visibility", "kind", "annotations")).alias("m"))
@@ -62,13 +69,14 @@ def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, violating: Da
 
 def impact_diff(edges: DataFrame, symbols: DataFrame, roots: DataFrame) -> DataFrame:
     """One row over all changed roots: highest score and level, distinct callers and tests, classes and modules they touch."""
-    per = impact(edges, symbols, roots)
+    dependents = depending, wide, tests = _dependents(edges)
+    per = impact(edges, symbols, roots, dependents=dependents)
     roots = roots.select(owner(F.col("root")).alias("root")).distinct()
     callers = edges.where("kind = 'CALLS'").select(owner(F.col("target_fqn")).alias("root"), ids.caller_label(F.col("source_fqn"), F.col("caller_member")).alias("c")).join(roots, "root", "left_semi").select("c").distinct()
     classes = callers.select(owner(F.col("c")).alias("n")).union(roots).distinct()
     module_of = symbols.where("kind not in ('METHOD', 'FIELD')").groupBy(F.col("qualified_name").alias("n")).agg(F.max("module").alias("module"))
     top = per.agg(F.coalesce(F.max("score"), F.lit(0)).alias("max_score"))
-    tests = traverse.affected_tests(edges, roots).agg(F.countDistinct("test").alias("tests"))
+    tests = counts.reached_leaves(depending, roots, tests, wide).agg(F.countDistinct("leaf").alias("tests"))
     called = callers.agg(F.count("*").alias("callers"), F.count_if(F.instr("c", "#") > 0).alias("methods"))
     touched = classes.join(module_of, "n", "left").agg(F.count("*").alias("classes"), F.greatest(F.countDistinct("module"), F.least(F.lit(1), F.count("*"))).alias("modules"))
     # four tables of one row

@@ -83,6 +83,29 @@ def components(adjacent: DataFrame, wider: DataFrame | None = None) -> DataFrame
     return stored(traverse.strongly_connected(pairs).select("node", "component", "size"), "components")
 
 
+def _condensed(inner: DataFrame, of: DataFrame) -> tuple:
+    """(what names a column's nodes by their components, the pairs between components)."""
+    named = lambda rows, c: rows.join(of.select(F.col("node").alias(c), F.col("component").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
+    return named, named(named(inner, "at"), "next").where("at <> next").distinct()
+
+
+def _at_leaves(words: DataFrame, passing: DataFrame, outer: DataFrame, leaves: DataFrame, named) -> DataFrame:
+    """(kind, leaf, block, bits), repeated or not: the words that come to a leaf's nodes; passing are those that go on to outer nodes."""
+    hung = leaves.select(F.col("node").alias("at"), "kind", "leaf")
+    after = outer.where("leafy").join(hung.withColumnRenamed("at", "next"), "next").select("at", "kind", "leaf")
+    met = [of_words.join(named(on, "at").distinct(), "at").select("kind", "leaf", "block", "bits") for of_words, on in ((words, hung), (passing, after))]
+    return met[0].unionByName(met[1])
+
+
+def reached_leaves(adjacent: DataFrame | Hops, roots: DataFrame, leaves: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(kind, leaf), distinct: the leaves of the roots and of what any of them reaches; arguments as in reach_counts(). All roots are one bit, so a node has a row."""
+    inner, outer = adjacent if isinstance(adjacent, Hops) else split(adjacent, leaves)
+    named, inner = _condensed(inner, components(inner) if of is None else of)
+    placed = named(roots.select(F.col("root").alias("at")).where("at is not null").distinct(), "at").distinct()
+    words = _spread(placed.select("at", F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("bits")), inner, None)
+    return _at_leaves(words, words, outer, leaves, named).select("kind", "leaf").distinct()
+
+
 def reach_counts(adjacent: DataFrame | Hops, roots: DataFrame, leaves: DataFrame | None = None, max_depth: int | None = None, of: DataFrame | None = None) -> DataFrame:
     """(root, kind, n) for n over 0: kind 'node' counts the other nodes that a root reaches along adjacent (at, next), in max_depth hops at
     most. leaves: (node, kind, leaf), more that hangs on nodes; a kind counts the distinct leaves of the root and what it reaches.
@@ -91,8 +114,7 @@ def reach_counts(adjacent: DataFrame | Hops, roots: DataFrame, leaves: DataFrame
     roots, one = roots.select("root").where("root is not null").distinct(), F.lit(1).cast("long")
     if max_depth is None:
         of = components(inner) if of is None else of
-        named = lambda rows, c: rows.join(of.select(F.col("node").alias(c), F.col("component").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
-        inner = named(named(inner, "at"), "next").where("at <> next").distinct()
+        named, inner = _condensed(inner, of)
         sizes = of.select(F.col("component").alias("at"), "size").distinct()
     else:
         named, sizes = (lambda rows, c: rows), None
@@ -111,10 +133,7 @@ def reach_counts(adjacent: DataFrame | Hops, roots: DataFrame, leaves: DataFrame
     last = outer.join(packed, "at").select("next", "words").repartition("next").select("next", F.inline("words")).groupBy("next", "block").agg(F.bit_or("bits").alias("bits"))
     every = weighed.select(F.lit("node").alias("kind"), "block", "bits", "weight").unionByName(last.select(F.lit("node").alias("kind"), "block", "bits", one.alias("weight")))
     if leaves is not None:
-        hung = leaves.select(F.col("node").alias("at"), "kind", "leaf")
-        after = outer.where("leafy").join(hung.withColumnRenamed("at", "next"), "next").select("at", "kind", "leaf")
-        met = [of_words.join(named(on, "at").distinct(), "at").select("kind", "leaf", "block", "bits") for of_words, on in ((words, hung), (passing, after))]
-        met = met[0].unionByName(met[1]).groupBy("kind", "leaf", "block").agg(F.bit_or("bits").alias("bits"))
+        met = _at_leaves(words, passing, outer, leaves, named).groupBy("kind", "leaf", "block").agg(F.bit_or("bits").alias("bits"))
         every = every.unionByName(met.select("kind", "block", "bits", one.alias("weight")))
     found = _bit_sums(every).join(ids, "id").join(placed, "at").withColumn("n", F.when(F.col("kind") == "node", F.col("n") - 1).otherwise(F.col("n")))
     return found.where("n > 0").select("root", "kind", "n")
